@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventlake.llm import bpe, token_files
+from eventlake.llm import bpe, chat, token_files
 
 #: Folder of public tokenizer files; every operator takes the file's path as a parameter.
 TOKENIZERS = "/opt/tokenizers"
@@ -16,6 +16,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], rows.schema)
+    threads = chat.linear_threads(rows.unionByName(extra), "conv_id", "turn", "role", "text")
+    return chat.chat_digest(chat.format_chats(threads, "conv_id", "message", "parent", "role", "text"), "conv_id")
+
+
+OP1_SQL = r"""
+WITH r AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (
+  SELECT *, length(role) + length(regexp_replace(role, '[^\\<\[\n]', '', 'g'))
+    + length(text) + length(regexp_replace(text, '[^\\<\[]', '', 'g')) + 14 AS chars FROM r)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(chars) + 7 AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bpe.bpe_encode(table(spark, sf_dir, "documents"), "doc_id", "text", f"{TOKENIZERS}/word_bpe_49k.json")
     return bpe.bpe_digest(encoded, "doc_id")
@@ -27,10 +52,13 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat": op1_chat,
     "op7_bpe": op7_bpe,
     "op8_token_files": op8_token_files,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_chat": OP1_SQL,
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
