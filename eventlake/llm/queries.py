@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventlake.llm import bpe, chat, token_files
+from eventlake.llm import bpe, chat, token_files, url_filter
 
 #: Folder of public tokenizer files; every operator takes the file's path as a parameter.
 TOKENIZERS = "/opt/tokenizers"
@@ -51,13 +51,53 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_digest(spark, documents, "doc_id", "text", f"{TOKENIZERS}/byte_bpe_50k.json", end_id=0)
 
 
+#: Verdict, host and path of the site rules.
+URL_RULES = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
+#: Hosts whose names have one of these words are on the list of hosts to block.
+LISTED_WORDS = ("spam", "ads", "track", "casino", "malware", "phish")
+
+
+def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    host, _ = url_filter.split_url(url_filter.F.col("url"))
+    named = url_filter.F.rlike(host, url_filter.F.lit(rf"(^|[.-])({'|'.join(LISTED_WORDS)})([.-]|$)"))
+    listed = pages.select(host.alias("host")).where(named).distinct()
+    return url_filter.judge_urls(pages, "page_id", "url", URL_RULES, listed)
+
+
+OP10_SQL = rf"""
+WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id,
+  translate(regexp_extract(rest, '^([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1, 's') AS path FROM u),
+r AS (SELECT *, CASE
+  WHEN host = '' THEN NULL
+  WHEN ends_with('.' || host, '.www.example.com') AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+  WHEN ends_with('.' || host, '.example.com') AND starts_with(path, '/en/') THEN 'example.com/en/'
+  WHEN ends_with('.' || host, '.net') AND starts_with(path, '/es/') THEN 'net/es/'
+  WHEN ends_with('.' || host, '.net') AND starts_with(path, '/fr/') THEN 'net/fr/'
+  WHEN ends_with('.' || host, '.com') AND starts_with(path, '/') THEN 'com/' END AS rule,
+  regexp_matches(host, '(^|[.-])({'|'.join(LISTED_WORDS)})([.-]|$)') AS listed FROM p)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow'
+  WHEN rule IS NOT NULL OR listed THEN 'block' ELSE 'allow' END AS verdict, listed FROM r
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": op1_chat,
     "op7_bpe": op7_bpe,
+    "op10_urls": op10_urls,
     "op8_token_files": op8_token_files,
 }
 ORACLES: dict[str, str] = {
     "op1_chat": OP1_SQL,
+    "op10_urls": OP10_SQL,
 }
 
 
