@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventlake.llm import bpe, chat, token_files, url_filter
+from eventlake.llm import bpe, chat, licenses, token_files, url_filter
 
 #: Folder of public tokenizer files; every operator takes the file's path as a parameter.
 TOKENIZERS = "/opt/tokenizers"
@@ -51,6 +51,10 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_digest(spark, documents, "doc_id", "text", f"{TOKENIZERS}/byte_bpe_50k.json", end_id=0)
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 #: Verdict, host and path of the site rules.
 URL_RULES = [
     ("allow", "com", "/"),
@@ -92,6 +96,7 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": op1_chat,
     "op7_bpe": op7_bpe,
+    "op9_licenses": op9_licenses,
     "op10_urls": op10_urls,
     "op8_token_files": op8_token_files,
 }
