@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventlake.llm import bpe, chat, licenses, token_files, url_filter
+from eventlake.llm import bpe, chat, decontaminate, licenses, quality, token_counts, token_files, url_filter
 
 #: Folder of public tokenizer files; every operator takes the file's path as a parameter.
 TOKENIZERS = "/opt/tokenizers"
@@ -41,6 +41,30 @@ FROM e GROUP BY conv_id
 """
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), "doc_id", "text", f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
+
+
+#: Grade of good documents, and the probability of it that keeps a document.
+GOOD_GRADE, GOOD_PROBABILITY = 2, 0.6
+
+
+def quality_model(spark: SparkSession, sf_dir: str) -> quality.OrdinalModel:
+    """Grades: 0 of low quality, 1 well written but toxic, 2 good."""
+    grade = quality.F.expr("CASE WHEN quality = 0 THEN 0 WHEN quality = 1 AND coalesce(toxic, 0) = 1 THEN 1 WHEN quality = 1 THEN 2 END")
+    grades = table(spark, sf_dir, "labels").select("doc_id", grade.alias("grade"))
+    return quality.train(table(spark, sf_dir, "documents"), "doc_id", "text", grades, "grade")
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = quality_model(spark, sf_dir)
+    return quality.score_documents(table(spark, sf_dir, "documents"), "doc_id", "text", model, GOOD_GRADE, GOOD_PROBABILITY)
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bpe.bpe_encode(table(spark, sf_dir, "documents"), "doc_id", "text", f"{TOKENIZERS}/word_bpe_49k.json")
     return bpe.bpe_digest(encoded, "doc_id")
@@ -95,6 +119,9 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": op1_chat,
+    "op3_token_counts": op3_token_counts,
+    "op4_decontaminate": op4_decontaminate,
+    "op5_quality": op5_quality,
     "op7_bpe": op7_bpe,
     "op9_licenses": op9_licenses,
     "op10_urls": op10_urls,
