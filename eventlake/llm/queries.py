@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventlake.llm import bpe, chat, decontaminate, licenses, quality, token_counts, token_files, url_filter
+from eventlake.llm import bpe, chat, decontaminate, licenses, quality, token_counts, token_files, url_filter, vector_graph
 
 #: Folder of public tokenizer files; every operator takes the file's path as a parameter.
 TOKENIZERS = "/opt/tokenizers"
@@ -41,6 +41,10 @@ FROM e GROUP BY conv_id
 """
 
 
+def op2_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_graph.near_duplicate_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label", 0.93)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), "doc_id", "text", f"{TOKENIZERS}/piece_bpe_32k.model")
 
@@ -119,6 +123,7 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": op1_chat,
+    "op2_vectors": op2_vectors,
     "op3_token_counts": op3_token_counts,
     "op4_decontaminate": op4_decontaminate,
     "op5_quality": op5_quality,
