@@ -51,16 +51,26 @@ def _key(column: str) -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col(f"`{column}`").cast("string")), F.lit("null"))
 
 
-def ancestor_tables(nodes: DataFrame) -> list[DataFrame]:
-    """``nodes``: t, m, p (null at roots), s.  Table k: t, m, j (2**k-th ancestor or null), n and total (way to it)."""
-    tables = [materialize(nodes.select("t", "m", F.col("p").alias("j"), F.lit(1).cast("long").alias("n"), F.col("s").alias("total")), "chat-jumps")]
-    rows = tables[0].count()
-    while 1 << (len(tables) - 1) < rows and not tables[-1].where("j is not null").isEmpty():
-        a, b = tables[-1].alias("a"), tables[-1].alias("b")
-        joined = a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.j") == F.col("b.m")), "left")
-        way = lambda c: (F.col(f"a.{c}") + F.coalesce(F.col(f"b.{c}"), F.lit(0))).alias(c)
-        tables.append(materialize(joined.select("a.t", "a.m", F.col("b.j").alias("j"), way("n"), way("total")), "chat-jumps"))
-    return tables
+def ancestor_tables(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """``nodes``: t, m, p (null at roots), s.
+
+    Jump table k has the messages with a 2**k-th ancestor: t, m, j (it), n and total (messages and score on the way, without it).  The
+    second result has the messages that reach a root: t, m, n, total of the whole way.  A round joins only messages that have not arrived.
+    """
+    start = materialize(nodes.select("t", "m", F.col("p").alias("j"), F.lit(1).cast("long").alias("n"), F.col("s").alias("total")), "chat-jumps")
+    arrived, active = start.where("j is null").drop("j"), start.where("j is not null")
+    rows = start.count()
+    jumps: list[DataFrame] = []
+    while not active.isEmpty():
+        jumps.append(active)
+        if 1 << len(jumps) > 2 * rows:  # only cycles go on for so long
+            break
+        a, b = active.alias("a"), arrived.withColumn("j", F.lit(None).cast(dict(start.dtypes)["j"])).unionByName(active).alias("b")
+        joined = a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.j") == F.col("b.m")))
+        way = lambda c: (F.col(f"a.{c}") + F.col(f"b.{c}")).alias(c)
+        further = materialize(joined.select("a.t", "a.m", F.col("b.j").alias("j"), way("n"), way("total")), "chat-jumps")
+        arrived, active = arrived.unionByName(further.where("j is null").drop("j")), further.where("j is not null")
+    return jumps, arrived
 
 
 def format_chats(df: DataFrame, tree: str, message: str, parent: str, role: str, text: str, score: str | None = None, branches: int = 1) -> DataFrame:
@@ -74,17 +84,15 @@ def format_chats(df: DataFrame, tree: str, message: str, parent: str, role: str,
 
     known = rows.select("t", F.col("m").alias("p"), F.lit(True).alias("found"))
     nodes = rows.select("t", "m", "p", "s").join(known, ["t", "p"], "left").select("t", "m", F.when(F.col("found"), F.col("p")).alias("p"), "s")
-    tables = ancestor_tables(nodes)
+    jumps, whole = ancestor_tables(nodes)
 
-    whole = tables[-1].where("j is null")
-    parents = tables[0].where("j is not null").select("t", F.col("j").alias("m"))
+    parents = nodes.where("p is not null").select("t", F.col("p").alias("m"))
     rank = Window.partitionBy("t").orderBy(F.desc(F.col("total") / F.col("n")), F.desc("n"), "m")
     leaves = whole.join(parents, ["t", "m"], "left_anti").withColumn("branch", F.row_number().over(rank)).where(F.col("branch") <= branches)
     path = materialize(leaves.select("t", "branch", F.col("m").alias("leaf"), (F.col("total") / F.col("n")).alias("score"), "n", "m", F.lit(0).cast("long").alias("up")), "chat-paths")
     # A path holds every 2**(k+1)-th ancestor before step k and every 2**k-th after it.
-    for k in range(len(tables) - 1, -1, -1):
-        jumps = tables[k].where("j is not null").select("t", "m", "j")
-        more = path.join(jumps, ["t", "m"]).select("t", "branch", "leaf", "score", "n", F.col("j").alias("m"), (F.col("up") + (1 << k)).alias("up"))
+    for k in range(len(jumps) - 1, -1, -1):
+        more = path.join(jumps[k].select("t", "m", "j"), ["t", "m"]).select("t", "branch", "leaf", "score", "n", F.col("j").alias("m"), (F.col("up") + (1 << k)).alias("up"))
         path = materialize(path.unionByName(more), "chat-paths")
 
     turns = path.join(rows.drop("s", "p"), ["t", "m"]).withColumns({"role_out": escape_role(F.col("role")), "text_out": escape(F.col("text"))})

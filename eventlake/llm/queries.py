@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventlake.llm import bpe, chat, decontaminate, licenses, quality, token_counts, token_files, url_filter, vector_graph
+from eventlake.llm import bpe, chat, decontaminate, jaccard, licenses, quality, token_counts, token_files, url_filter, vector_graph
 
 #: Folder of public tokenizer files; every operator takes the file's path as a parameter.
 TOKENIZERS = "/opt/tokenizers"
@@ -69,6 +69,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(table(spark, sf_dir, "documents"), "doc_id", "text", model, GOOD_GRADE, GOOD_PROBABILITY)
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_groups(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bpe.bpe_encode(table(spark, sf_dir, "documents"), "doc_id", "text", f"{TOKENIZERS}/word_bpe_49k.json")
     return bpe.bpe_digest(encoded, "doc_id")
@@ -127,6 +131,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op4_decontaminate": op4_decontaminate,
     "op5_quality": op5_quality,
+    "op6_jaccard": op6_jaccard,
     "op7_bpe": op7_bpe,
     "op9_licenses": op9_licenses,
     "op10_urls": op10_urls,
