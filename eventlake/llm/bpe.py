@@ -209,11 +209,12 @@ def bpe_encode(df: DataFrame, id_col: str, text_col: str, tokenizer_path: str, d
     return map_texts(df, [id_col], text_col, schema, work).withColumnRenamed("k0", id_col)
 
 
-def bpe_digest(encoded: DataFrame, id_col: str) -> DataFrame:
-    """Counts and digests of encoded documents, computed by the JVM from the ids and texts."""
+def bpe_digest(encoded: DataFrame, id_col: str, *more: str) -> DataFrame:
+    """Counts and digests of encoded documents, computed by the JVM from the ids and texts; ``more``: columns to keep."""
     return encoded.select(
         id_col,
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        *more,
     )

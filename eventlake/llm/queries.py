@@ -57,16 +57,16 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 GOOD_GRADE, GOOD_PROBABILITY = 2, 0.6
 
 
-def quality_model(spark: SparkSession, sf_dir: str) -> quality.OrdinalModel:
+def quality_model(documents: DataFrame, labels: DataFrame) -> quality.OrdinalModel:
     """Grades: 0 of low quality, 1 well written but toxic, 2 good."""
     grade = quality.F.expr("CASE WHEN quality = 0 THEN 0 WHEN quality = 1 AND coalesce(toxic, 0) = 1 THEN 1 WHEN quality = 1 THEN 2 END")
-    grades = table(spark, sf_dir, "labels").select("doc_id", grade.alias("grade"))
-    return quality.train(table(spark, sf_dir, "documents"), "doc_id", "text", grades, "grade")
+    return quality.train(documents, "doc_id", "text", labels.select("doc_id", grade.alias("grade")), "grade")
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = quality_model(spark, sf_dir)
-    return quality.score_documents(table(spark, sf_dir, "documents"), "doc_id", "text", model, GOOD_GRADE, GOOD_PROBABILITY)
+    documents = table(spark, sf_dir, "documents")
+    model = quality_model(documents, table(spark, sf_dir, "labels"))
+    return quality.score_documents(documents, "doc_id", "text", model, GOOD_GRADE, GOOD_PROBABILITY)
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
