@@ -1,16 +1,362 @@
-"""Name -> (query, oracle SQL) registry of the core engine."""
+"""Name -> query and oracle SQL of the core engine, over the derived domain model (``sources.fixtures``)."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from eventlake.functions import quality
+from eventlake.functions.identity import envelopes
+from eventlake.functions.rules import CORE_RULES, CORRECTION, VALID, first_failure
+from eventlake.operators import classify as c
+from eventlake.operators import corrections, marts, parse
+from eventlake.sources import fixtures
+from eventlake.sources.fixtures import table
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
+ORDER = ["variant_type", "k"]
+
+MODEL = r"""
+WITH m AS (SELECT o_orderkey AS match_id, o_custkey % 25 AS home_team_id, (o_custkey % 25 + 1 + o_orderkey % 24) % 25 AS away_team_id,
+  CAST(o_orderkey % 5 AS INT) AS home_score, CASE WHEN o_orderkey % 61 = 0 THEN NULL ELSE CAST((o_orderkey * 7) % 4 AS INT) END AS away_score,
+  o_orderdate AS kickoff_timestamp, o_orderkey % 4 AS season_id FROM orders WHERE o_orderkey < 500 AND o_orderkey % 25 <> 24),
+base AS (SELECT 'primary' AS source, CAST(NULL AS VARCHAR) AS variant_type, e.event_id AS k,
+  CASE WHEN e.event_id % 101 = 0 THEN NULL ELSE 'ev-' || e.event_id END AS event_id,
+  CASE WHEN e.event_id % 103 = 0 THEN NULL ELSE e.event_id % 500 END AS match_id,
+  CASE WHEN e.event_id % 107 = 0 THEN NULL WHEN e.event_id % 53 = 0 THEN 99 WHEN e.event_id % 2 = 0 THEN o_custkey % 25 ELSE (o_custkey % 25 + 1 + o_orderkey % 24) % 25 END AS team_id,
+  CAST(CASE WHEN e.event_id % 109 = 0 THEN 200 WHEN e.event_id % 113 = 0 THEN NULL WHEN e.event_id % 127 = 0 THEN -1 ELSE e.event_id % 131 END AS INT) AS minute,
+  CAST(CASE WHEN e.event_id % 11 = 0 THEN NULL ELSE e.user_id % 60 END AS INT) AS second,
+  CASE e.event_type WHEN 'purchase' THEN 'SHOT' WHEN 'click' THEN 'PASS' WHEN 'view' THEN 'CARRY' WHEN 'signup' THEN 'PRESSURE' ELSE 'FOUL COMMITTED' END AS event_type,
+  CASE WHEN e.event_type <> 'error' THEN NULL WHEN e.event_id % 10 = 0 THEN 'RED CARD' WHEN e.event_id % 10 = 1 THEN 'SECOND YELLOW' WHEN e.event_id % 10 < 6 THEN 'YELLOW CARD' END AS card_type,
+  e.user_id AS player_id FROM events e LEFT JOIN orders o ON o.o_orderkey = e.event_id % 500),
+ev AS (SELECT * FROM base
+  UNION ALL SELECT 'synthetic', 'exact_duplicate', k, event_id, match_id, team_id, minute, second, event_type, card_type, player_id FROM base WHERE k % 97 = 5
+  UNION ALL SELECT 'synthetic', 'event_correction', k, event_id, match_id, team_id, minute, second, 'SUBSTITUTION', card_type, player_id FROM base WHERE k % 89 = 7
+  UNION ALL SELECT 'synthetic', 'late_event', k, event_id || '-late', match_id, team_id, 1, second, event_type, card_type, player_id FROM base WHERE k % 83 = 11),
+core AS (SELECT *, CASE WHEN event_id IS NULL THEN 'MISSING_EVENT_ID' WHEN match_id IS NULL THEN 'MISSING_MATCH_ID' WHEN team_id IS NULL THEN 'MISSING_TEAM_ID'
+  WHEN minute IS NULL OR minute < 0 OR minute > 130 THEN 'INVALID_MATCH_MINUTE' END AS core_error,
+  sha256(concat_ws('|', event_id, match_id, team_id, minute, second, event_type, card_type)) AS event_payload_hash,
+  sha256(concat_ws(':', source, coalesce(variant_type, ''), k)) AS bronze_record_id FROM ev),
+checked AS (SELECT core.*, home_team_id, away_team_id, kickoff_timestamp, CASE WHEN core_error IS NOT NULL THEN core_error WHEN home_team_id IS NULL THEN 'UNKNOWN_MATCH'
+  WHEN team_id <> home_team_id AND team_id <> away_team_id THEN 'INVALID_TEAM_MATCH_RELATIONSHIP' END AS error FROM core LEFT JOIN m USING (match_id)),
+ranked AS (SELECT *, count(*) OVER w AS n, min(event_payload_hash) OVER w AS lo, max(event_payload_hash) OVER w AS hi,
+  row_number() OVER (PARTITION BY event_id ORDER BY CASE WHEN source = 'primary' THEN 0 ELSE 1 END, variant_type NULLS FIRST, k) AS rn
+  FROM checked WHERE error IS NULL WINDOW w AS (PARTITION BY event_id)),
+outcomes AS (SELECT * EXCLUDE (n, lo, hi, rn), CASE WHEN lo <> hi AND source <> 'primary' THEN 'EVENT_CORRECTION_REQUIRES_REVIEW' WHEN lo = hi AND rn > 1 THEN 'EXACT_DUPLICATE' ELSE 'VALID' END AS outcome FROM ranked
+  UNION ALL SELECT *, error FROM checked WHERE error IS NOT NULL),
+timed AS (SELECT *, kickoff_timestamp + to_seconds(minute * 60 + coalesce(second, 0)) AS event_timestamp FROM outcomes),
+silver AS (SELECT * FROM timed WHERE outcome = 'VALID'),
+first_batch AS (SELECT * FROM silver WHERE kickoff_timestamp < TIMESTAMP '1999-01-01' AND variant_type IS NULL),
+mark AS (SELECT max(event_timestamp) AS w FROM first_batch),
+ec AS (SELECT match_id, count(*) AS event_count, CAST(sum(CASE WHEN event_type = 'SHOT' THEN 1 ELSE 0 END) AS BIGINT) AS shot_count,
+  CAST(sum(CASE WHEN card_type = 'YELLOW CARD' THEN 1 ELSE 0 END) AS BIGINT) AS yellow_card_count,
+  CAST(sum(CASE WHEN card_type IN ('RED CARD', 'SECOND YELLOW') THEN 1 ELSE 0 END) AS BIGINT) AS red_card_count FROM silver GROUP BY match_id),
+summary AS (SELECT m.match_id, CAST(1 AS BIGINT) AS competition_id, 'League' AS competition_name, season_id, 'Season ' || season_id AS season_name, CAST(kickoff_timestamp AS DATE) AS match_date,
+  home_team_id, 'Team ' || home_team_id AS home_team_name, away_team_id, 'Team ' || away_team_id AS away_team_name, home_score, away_score,
+  CASE WHEN home_score > away_score THEN 'Team ' || home_team_id WHEN away_score > home_score THEN 'Team ' || away_team_id ELSE 'DRAW' END AS winner,
+  coalesce(home_score, 0) + coalesce(away_score, 0) AS goal_count, coalesce(yellow_card_count, 0) AS yellow_card_count, coalesce(red_card_count, 0) AS red_card_count,
+  coalesce(shot_count, 0) AS shot_count, coalesce(event_count, 0) AS event_count FROM m LEFT JOIN ec USING (match_id)),
+sides AS (SELECT match_id, home_team_id AS team_id, home_score AS gf, away_score AS ga FROM m UNION ALL SELECT match_id, away_team_id, away_score, home_score FROM m),
+perf AS (SELECT *, goals_for - goals_against AS goal_difference, wins * 3 + draws AS points FROM (SELECT team_id, 'Team ' || team_id AS team_name, count(*) AS matches_played, count(*) FILTER (WHERE gf > ga) AS wins,
+  count(*) FILTER (WHERE gf = ga) AS draws, count(*) FILTER (WHERE gf < ga) AS losses, CAST(sum(gf) AS BIGINT) AS goals_for, CAST(sum(ga) AS BIGINT) AS goals_against FROM sides GROUP BY team_id)),
+dist AS (SELECT event_type, CAST(minute // 15 * 15 AS INT) AS minute_bucket, count(*) AS event_count FROM silver GROUP BY ALL)
+"""
+
+
+def query(name: str, sql: str | None = None, model: bool = True) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = (MODEL if model else "") + sql
+        return f
+
+    return add
+
+
+def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return c.classify(fixtures.events(spark, sf_dir), fixtures.matches(spark, sf_dir), ORDER).withColumn("event_timestamp", c.event_time())
+
+
+def silver(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outcomes(spark, sf_dir).where(F.col("outcome") == VALID)
+
+
+# --- sources, identity, merge ----------------------------------------------------------------------------------------
+
+
+@query(
+    "bronze_identity_hash",
+    "SELECT event_id, sha256(props) AS payload_hash, sha256(concat_ws(chr(31), 'events', 'event', event_id, sha256(props))) AS bronze_record_id FROM events",
+    model=False,
+)
+def bronze_identity_hash(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    text = lambda v: F.lit(v)
+    records = e.select(text("events").alias("source"), text("event").alias("source_object"), text("").alias("source_uri"), text("").alias("source_commit_sha"), F.col("event_id").cast("string").alias("source_record_locator"), F.col("props").alias("raw_payload"))
+    return envelopes(records, "contract").select(F.col("source_record_locator").cast("long").alias("event_id"), "payload_hash", "bronze_record_id")
+
+
+def _merged(spark: SparkSession, sf_dir: str, insert_only: bool) -> DataFrame:
+    """A table of half the customers, merged with an overlapping half of changed ones."""
+    from eventlake.sources.table import Table
+
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    import uuid
+
+    target = Table(spark, f"{base.rstrip('/')}/merge-{uuid.uuid4().hex}")
+    target.merge(customers.where("c_custkey % 4 < 2"), ["c_custkey"])
+    target.merge(customers.where("c_custkey % 4 in (1, 2)").withColumn("c_nationkey", F.expr("c_nationkey + 100")), ["c_custkey"], insert_only=insert_only)
+    return target.read()
+
+
+@query("merge_upsert", "SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN c_nationkey ELSE c_nationkey + 100 END AS c_nationkey FROM customer WHERE c_custkey % 4 < 3", model=False)
+def merge_upsert(spark, sf_dir):
+    return _merged(spark, sf_dir, insert_only=False)
+
+
+@query("bronze_insert_only_merge", "SELECT c_custkey, CASE WHEN c_custkey % 4 < 2 THEN c_nationkey ELSE c_nationkey + 100 END AS c_nationkey FROM customer WHERE c_custkey % 4 < 3", model=False)
+def insert_only_merge(spark, sf_dir):
+    return _merged(spark, sf_dir, insert_only=True)
+
+
+@query("incremental_by_ids", "SELECT event_id, event_type, value FROM events WHERE event_id IN (1, 5, 42, 77, 900)", model=False)
+def incremental_by_ids(spark, sf_dir):
+    return table(spark, sf_dir, "events").where(F.col("event_id").isin(1, 5, 42, 77, 900)).select("event_id", "event_type", "value")
+
+
+@query("parse_event_json", "SELECT event_id, CAST(props ->> 'k' AS INT) AS k FROM events", model=False)
+def parse_event_json(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k INT")["k"].alias("k"))
+
+
+@query("parse_event_payloads", "SELECT bronze_record_id, source, variant_type, match_id, event_id, k AS event_index, minute, second, event_type, team_id, player_id, card_type FROM core")
+def parse_event_payloads(spark, sf_dir):
+    parsed = parse.parse_events(fixtures.event_payloads(spark, sf_dir))
+    return parsed.select("bronze_record_id", "source", "variant_type", "match_id", "event_id", "event_index", "minute", "second", "event_type", "team_id", "player_id", "card_type")
+
+
+@query("parse_match_payloads", "SELECT match_id, season_id, CAST(kickoff_timestamp AS DATE) AS match_date, kickoff_timestamp, home_team_id, away_team_id, 'Team ' || home_team_id AS home_team_name, home_score, away_score FROM m")
+def parse_match_payloads(spark, sf_dir):
+    parsed = parse.parse_matches(fixtures.match_payloads(spark, sf_dir))
+    return parsed.select("match_id", "season_id", "match_date", "kickoff_timestamp", "home_team_id", "away_team_id", "home_team_name", "home_score", "away_score")
+
+
+# --- validation ------------------------------------------------------------------------------------------------------
+
+
+@query("core_rule_outcome", "SELECT k, variant_type, core_error FROM core")
+def core_rule_outcome(spark, sf_dir):
+    return fixtures.events(spark, sf_dir).select("k", "variant_type", first_failure(*CORE_RULES).alias("core_error"))
+
+
+@query("reference_rule_outcome", "SELECT k, variant_type, error FROM checked WHERE core_error IS NULL")
+def reference_rule_outcome(spark, sf_dir):
+    checked = c.check_rows(fixtures.events(spark, sf_dir), fixtures.matches(spark, sf_dir))
+    return checked.where(first_failure(*CORE_RULES).isNull()).select("k", "variant_type", "error")
+
+
+@query("duplicate_classification", "SELECT k, variant_type, event_id, outcome FROM outcomes")
+def duplicate_classification(spark, sf_dir):
+    return outcomes(spark, sf_dir).select("k", "variant_type", "event_id", "outcome")
+
+
+@query("outcome_counts", "SELECT outcome, count(*) AS n FROM outcomes GROUP BY outcome")
+def outcome_counts(spark, sf_dir):
+    return outcomes(spark, sf_dir).groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+@query("quarantine_rows", "SELECT sha256(bronze_record_id || '|' || outcome) AS quarantine_id, bronze_record_id, source, event_id AS record_key, outcome AS error_type, 'Data quality rule failed: ' || outcome AS error_message, 0 AS retry_count, 'NEW' AS status FROM outcomes WHERE outcome NOT IN ('VALID', 'EXACT_DUPLICATE')")
+def quarantine_rows(spark, sf_dir):
+    return c.quarantine_rows(outcomes(spark, sf_dir), "contract").select("quarantine_id", "bronze_record_id", "source", "record_key", "error_type", "error_message", "retry_count", "status")
+
+
+# --- state -----------------------------------------------------------------------------------------------------------
+
+
+def _batches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = silver(spark, sf_dir)
+    first = F.expr("kickoff_timestamp < TIMESTAMP_NTZ '1999-01-01 00:00:00' AND variant_type IS NULL")
+    return rows.where(first), rows.where(~first)
+
+
+@query("late_events", "SELECT event_id, event_timestamp, event_timestamp < w AS is_late FROM silver CROSS JOIN mark WHERE NOT (kickoff_timestamp < TIMESTAMP '1999-01-01' AND variant_type IS NULL)")
+def late_events(spark, sf_dir):
+    first, second = _batches(spark, sf_dir)
+    mark = first.agg(F.max("event_timestamp")).first()[0]
+    return c.flag_late(second, mark).select("event_id", "event_timestamp", "is_late")
+
+
+@query("watermark_monotonic", "SELECT batch_no, CASE WHEN batch_no = 1 THEN w ELSE (SELECT max(event_timestamp) FROM silver) END AS watermark FROM mark CROSS JOIN (SELECT unnest([1, 2]) AS batch_no)")
+def watermark_monotonic(spark, sf_dir):
+    from eventlake.operators import watermark
+
+    first, second = _batches(spark, sf_dir)
+    one = watermark.advance(first, None, "primary", "match_events", "1")
+    before = one.first().watermark
+    two = watermark.advance(second, before, "primary", "match_events", "2")
+    return one.unionByName(two).select(F.col("pipeline_run_id").cast("int").alias("batch_no"), "watermark")
+
+
+@query("silver_new_events", "SELECT event_id, match_id, minute, event_type FROM silver WHERE event_id NOT IN (SELECT event_id FROM first_batch)")
+def silver_new_events(spark, sf_dir):
+    return silver(spark, sf_dir).join(_batches(spark, sf_dir)[0].select("event_id"), "event_id", "left_anti").select("event_id", "match_id", "minute", "event_type")
+
+
+@query("team_dimension", "SELECT DISTINCT team_id, 'Team ' || team_id AS team_name, CASE WHEN team_id % 2 = 0 THEN 'North' ELSE 'South' END AS country FROM sides")
+def team_dimension(spark, sf_dir):
+    return parse.teams(fixtures.matches(spark, sf_dir).withColumn("pipeline_run_id", F.lit("contract"))).drop("pipeline_run_id")
+
+
+@query("player_dimension_coalesce", "SELECT player_id, max(team_id) AS team_id, CASE WHEN player_id % 3 = 0 THEN 'Keeper' END AS position FROM silver GROUP BY player_id")
+def player_dimension_coalesce(spark, sf_dir):
+    """Events know no position; one that the line-ups gave stays."""
+    seen = silver(spark, sf_dir).groupBy("player_id").agg(F.max("team_id").alias("team_id")).withColumn("position", F.lit(None).cast("string"))
+    lineups = seen.where("player_id % 3 = 0").select("player_id", F.lit("Keeper").alias("known"))
+    return seen.join(lineups, "player_id", "left").select("player_id", "team_id", F.coalesce("position", "known").alias("position"))
+
+
+@query(
+    "quality_metrics",
+    """, n AS (SELECT count(*) AS input, count(*) FILTER (WHERE outcome = 'VALID') AS valid, count(*) FILTER (WHERE outcome NOT IN ('VALID', 'EXACT_DUPLICATE')) AS quarantined,
+  count(*) FILTER (WHERE outcome = 'EXACT_DUPLICATE') AS duplicates, CAST(0 AS BIGINT) AS late FROM outcomes),
+r AS (SELECT *, 100.0::DOUBLE * valid / input AS pass_rate, 100.0::DOUBLE * quarantined / input AS quarantine_rate, 100.0::DOUBLE * late / input AS late_event_rate FROM n)
+SELECT *, CASE WHEN pass_rate < 80 OR quarantine_rate >= 40 OR late_event_rate >= 25 THEN 'FAILED' WHEN pass_rate < 95 OR quarantine_rate >= 20 OR late_event_rate >= 10 THEN 'WARNING' ELSE 'HEALTHY' END AS overall_status FROM r""",
+)
+def quality_metrics(spark, sf_dir):
+    rows = c.outcome_counts(outcomes(spark, sf_dir)).withColumn("late", F.lit(0).cast("long"))
+    for name, column in quality.status_columns().items():
+        rows = rows.withColumn(name, column)
+    return rows
+
+
+# --- marts -----------------------------------------------------------------------------------------------------------
+
+
+@query("match_summary", "SELECT * FROM summary")
+def match_summary(spark, sf_dir):
+    return marts.match_summary(fixtures.matches(spark, sf_dir), silver(spark, sf_dir))
+
+
+@query("team_performance", "SELECT * FROM perf")
+def team_performance(spark, sf_dir):
+    return marts.team_performance(fixtures.matches(spark, sf_dir))
+
+
+@query("event_distribution", "SELECT * FROM dist")
+def event_distribution(spark, sf_dir):
+    return marts.event_distribution(silver(spark, sf_dir))
+
+
+def _affected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches touched by late variants or by one season's match file."""
+    return marts.affected_matches(silver(spark, sf_dir).where("variant_type = 'late_event'"), fixtures.matches(spark, sf_dir).where("season_id = 0"))
+
+
+AFFECTED = ", affected AS (SELECT match_id FROM silver WHERE variant_type = 'late_event' UNION SELECT match_id FROM m WHERE season_id = 0) "
+
+
+@query("affected_matches", AFFECTED + "SELECT match_id FROM affected")
+def affected_matches(spark, sf_dir):
+    return _affected(spark, sf_dir)
+
+
+@query("affected_match_summary", AFFECTED + "SELECT * FROM summary WHERE match_id IN (SELECT match_id FROM affected)")
+def affected_match_summary(spark, sf_dir):
+    return marts.match_summary(fixtures.matches(spark, sf_dir), silver(spark, sf_dir), _affected(spark, sf_dir))
+
+
+@query("affected_team_performance", "SELECT * FROM perf WHERE team_id IN (SELECT s.team_id FROM sides s JOIN silver e USING (match_id) WHERE e.variant_type = 'late_event')")
+def affected_team_performance(spark, sf_dir):
+    matches = fixtures.matches(spark, sf_dir)
+    late = silver(spark, sf_dir).where("variant_type = 'late_event'").select("match_id").distinct()
+    return marts.team_performance(matches, marts.affected_teams(matches, late))
+
+
+# --- corrections -----------------------------------------------------------------------------------------------------
+
+
+def _corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outcomes(spark, sf_dir).where(F.col("outcome") == CORRECTION)
+
+
+KNOWN = "(SELECT event_id FROM silver WHERE source = 'primary' AND k % 2 = 0)"
+
+
+@query("correction_split", f"SELECT event_id, bronze_record_id, CASE WHEN event_id IN {KNOWN} THEN NULL ELSE 'ORIGINAL_EVENT_NOT_FOUND' END AS problem FROM outcomes WHERE outcome = 'EVENT_CORRECTION_REQUIRES_REVIEW'")
+def correction_split(spark, sf_dir):
+    known = silver(spark, sf_dir).where("source = 'primary' AND k % 2 = 0")
+    return corrections.split_by_original(_corrections(spark, sf_dir), known).select("event_id", "bronze_record_id", "problem")
+
+
+def _audited(spark, sf_dir, rows: DataFrame, kind: str) -> DataFrame:
+    done = corrections.audit(c.quarantine_rows(rows, "contract"), kind, "run-2", F.lit("checked"))
+    return done.select("quarantine_id", "record_key", "status", "retry_count", "resolution_action", "resolution_note", "resolution_run_id")
+
+
+def _audit_sql(where: str, status: str, action: str, retry: int) -> str:
+    return f"SELECT sha256(bronze_record_id || '|' || outcome) AS quarantine_id, event_id AS record_key, '{status}' AS status, {retry} AS retry_count, '{action}' AS resolution_action, 'checked' AS resolution_note, 'run-2' AS resolution_run_id FROM outcomes WHERE {where}"
+
+
+@query("correction_audit", _audit_sql(f"outcome = '{CORRECTION}'", "REPROCESSED", "APPROVED", 1))
+def correction_audit(spark, sf_dir):
+    return _audited(spark, sf_dir, _corrections(spark, sf_dir), "approve")
+
+
+@query("correction_reject", _audit_sql(f"outcome = '{CORRECTION}'", "REJECTED", "REJECTED", 0))
+def correction_reject(spark, sf_dir):
+    return _audited(spark, sf_dir, _corrections(spark, sf_dir), "reject")
+
+
+@query("replay_audit", _audit_sql("outcome = 'INVALID_MATCH_MINUTE'", "REPROCESSED", "REPLAY", 1))
+def replay_audit(spark, sf_dir):
+    return _audited(spark, sf_dir, outcomes(spark, sf_dir).where("outcome = 'INVALID_MATCH_MINUTE'"), "replay")
+
+
+# --- questions -------------------------------------------------------------------------------------------------------
+
+
+@query("kpi_total_goals", "SELECT CAST(sum(goal_count) AS BIGINT) AS total_goals FROM summary")
+def kpi_total_goals(spark, sf_dir):
+    return marts.total_goals(match_summary(spark, sf_dir))
+
+
+@query("league_table_topk", "SELECT team_id, team_name, points FROM perf ORDER BY points DESC, goal_difference DESC NULLS LAST, team_id LIMIT 10")
+def league_table_topk(spark, sf_dir):
+    return marts.standings(team_performance(spark, sf_dir)).limit(10).select("team_id", "team_name", "points")
+
+
+@query("top_scoring_teams", "SELECT team_id, team_name, goals_for FROM perf ORDER BY goals_for DESC, team_id LIMIT 10")
+def top_scoring_teams(spark, sf_dir):
+    return team_performance(spark, sf_dir).orderBy(F.desc("goals_for"), "team_id").limit(10).select("team_id", "team_name", "goals_for")
+
+
+@query("win_draw_loss", "SELECT team_id, team_name, wins, draws, losses FROM perf")
+def win_draw_loss(spark, sf_dir):
+    return team_performance(spark, sf_dir).select("team_id", "team_name", "wins", "draws", "losses")
+
+
+@query("event_timeline", "SELECT minute_bucket, event_type, event_count FROM dist ORDER BY 1, 2")
+def event_timeline(spark, sf_dir):
+    return event_distribution(spark, sf_dir).orderBy("minute_bucket", "event_type")
+
+
+@query("match_listing_limit", "SELECT match_id, home_team_name, away_team_name, winner FROM summary ORDER BY match_id LIMIT 10")
+def match_listing_limit(spark, sf_dir):
+    return match_summary(spark, sf_dir).orderBy("match_id").limit(10).select("match_id", "home_team_name", "away_team_name", "winner")
+
+
+@query("team_standings_sorted", "SELECT * FROM perf ORDER BY points DESC, goal_difference DESC NULLS LAST, team_id")
+def team_standings_sorted(spark, sf_dir):
+    return marts.standings(team_performance(spark, sf_dir))
+
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
 
