@@ -11,8 +11,9 @@ next, which is how boundary documents are replicated.  Blocks of under ``SPARSE`
 
 Regions are the components of shared cells.  A region takes documents as pivots: each document belongs to its nearest pivot's
 Voronoi region and, by the triangle inequality, is replicated to every region whose pivot is not more than
-0.2 farther.  Regions are parted again until they are small or stop shrinking, then joined pair by
-pair; pairs already in one component need no check.  Regions over ``REGION_SHINGLES`` are parted by Spark first.
+0.2 farther.  Regions are parted again until they are small or parting saves no work, then joined pair by
+pair; pairs already in one component need no check.  Regions over ``REGION_SHINGLES`` are parted by Spark first; one
+that parting does not help is dealt into blocks that meet two by two, so no task holds more than that bound or two documents.
 
 Contract: A-Z are lowered, words are ``[^\\x20\\x09-\\x0D]+``, shingles are of three words; a shorter text is one shingle, one without words (or
 null) has an empty set and links with nothing.  Each row gives one row, repeated rows and ids too.  A row without id keeps n_shingles; its
@@ -28,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventlake.llm.components import components
@@ -135,7 +136,8 @@ def cells(shingles: np.ndarray) -> np.ndarray:
 class Region:
     """Documents of a region: joins them by pivots and windows; ``root`` gives each one's local component."""
 
-    def __init__(self, sets: list[np.ndarray]):
+    def __init__(self, sets: list[np.ndarray], known: np.ndarray | None = None):
+        """``known``: a label of each document, equal (and not -1) where two are in one component already."""
         sizes = np.array([len(s) for s in sets])
         self.order = np.argsort(sizes, kind="stable")
         self.sizes = sizes[self.order]
@@ -144,6 +146,10 @@ class Region:
         self.mark = np.zeros(int(flat.max()) + 1, bool)
         self.root = np.arange(len(sets))
         self.compared = 0
+        if known is not None:
+            known = known[self.order]
+            _, first, at = np.unique(known, return_index=True, return_inverse=True)
+            self.root = np.where(known == -1, self.root, first[at])
 
     def _join(self, a: int, others: np.ndarray) -> None:
         roots = np.unique(self.root[np.append(others, a)])
@@ -165,15 +171,20 @@ class Region:
         ends = np.searchsorted(sizes, sizes * 10 // 9, "right")
         for at, (a, end) in enumerate(zip(members.tolist(), ends.tolist())):
             rest = members[at + 1 : end]
-            if not len(rest) or (self.root[rest] == self.root[a]).all():
+            other = np.flatnonzero(self.root[rest] != self.root[a])
+            if not len(other):
                 continue
-            shared = self._shared(a, flat[edges[at + 1] : edges[end]], edges[at + 1 : end] - edges[at + 1])
-            hits = rest[linked(shared, self.sizes[a], sizes[at + 1 : end])]
+            if 4 * len(other) < len(rest):  # few are not in a's component: only those are read
+                rest = rest[other]
+                shared = self._shared(a, np.concatenate([self.sets[i] for i in rest]), np.concatenate([[0], np.cumsum(self.sizes[rest])[:-1]]))
+            else:
+                shared = self._shared(a, flat[edges[at + 1] : edges[end]], edges[at + 1 : end] - edges[at + 1])
+            hits = rest[linked(shared, self.sizes[a], self.sizes[rest])]
             if len(hits):
                 self._join(a, hits)
 
     def join(self, members: np.ndarray | None = None) -> None:
-        """Voronoi regions of some members, with windows; regions that stop shrinking are joined pair by pair."""
+        """Voronoi regions of some members, with windows; where these would not save pairs, all are joined pair by pair."""
         members = np.arange(len(self.sets)) if members is None else members
         if len(members) <= LEAF_ROWS:
             return self.pairs(members)
@@ -191,7 +202,7 @@ class Region:
         inside = distance <= distance.min(axis=0) + 0.2 + EPSILON
         nearest = distance.argmin(axis=0)
         parts = [members[row] for j, row in enumerate(inside) if (nearest == j).any()]
-        if max(map(len, parts)) > SHRINK * len(members):
+        if sum(len(p) ** 2 for p in parts) > SHRINK * len(members) ** 2:
             return self.pairs(members)
         del flat, distance, inside
         for part in parts:
@@ -199,10 +210,10 @@ class Region:
         return None
 
 
-def join_region(ids: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def join_region(ids: np.ndarray, sets: list[np.ndarray], known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Each id and the smallest id of its component in the region, for components of more than one."""
     ids, first = np.unique(ids, return_index=True)
-    region = Region([sets[i] for i in first])
+    region = Region([sets[i] for i in first], None if known is None else known[first])
     region.join()
     of = ids[region.order]
     least = np.full(len(ids), np.iinfo(np.int64).max)
@@ -285,60 +296,88 @@ def sets_and_cells(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _split(sets: DataFrame) -> DataFrame:
-    """One round of Voronoi regions by Spark: ``sets`` (region, cid, n, shingles) of regions over the bound."""
-    from pyspark.sql import Window
+    """One round of Voronoi regions by Spark: ``sets`` (region, cid, n, hub, shingles) of regions over the bound.
 
+    A document gives a row for each part it enters; ``first`` marks one of them.  Its new hub is the first pivot it links with, or its old one.
+    """
     rank = F.row_number().over(Window.partitionBy("region").orderBy(F.xxhash64("cid", "region"), "cid"))
-    pivots = sets.withColumn("rank", rank).where(F.col("rank") <= PIVOTS).groupBy("region").agg(F.collect_list("shingles").alias("pivots"))
+    chosen = sets.withColumn("rank", rank).where(F.col("rank") <= PIVOTS)
+    pivots = chosen.groupBy("region").agg(F.array_sort(F.collect_list(F.struct("cid", "shingles"))).alias("pivots"))
+    schema = pa.schema([("region", pa.int64()), ("part", pa.int32()), ("first", pa.bool_()), ("cid", pa.int64()), ("n", pa.int64()), ("hub", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            regions, ids, sizes = (batch.column(c).to_pylist() for c in ("region", "cid", "n"))
-            out = {"region": [], "part": [], "cid": [], "n": [], "shingles": []}
+            regions, ids, sizes, hubs = (batch.column(c).to_pylist() for c in ("region", "cid", "n", "hub"))
+            out = {name: [] for name in schema.names}
             for i in range(batch.num_rows):
                 own = batch.column("shingles")[i].values.to_numpy()
-                distance = []
-                for other in batch.column("pivots")[i].as_py():
-                    shared = len(np.intersect1d(own, np.array(other, np.int64), assume_unique=True))
+                distance, hub = [], None
+                for pivot in batch.column("pivots")[i].values.to_pylist():
+                    other = np.array(pivot["shingles"], np.int64)
+                    shared = len(np.intersect1d(own, other, assume_unique=True))
                     distance.append(1 - shared / (len(own) + len(other) - shared))
+                    if hub is None and linked(shared, len(own), len(other)):
+                        hub = pivot["cid"]
+                nearest = int(np.argmin(distance))
                 for j in np.flatnonzero(np.array(distance) <= min(distance) + 0.2 + EPSILON).tolist():
-                    for name, value in zip(out, (regions[i], j, ids[i], sizes[i], own)):
+                    for name, value in zip(schema.names, (regions[i], j, j == nearest, ids[i], sizes[i], hubs[i] if hub is None else hub, own)):
                         out[name].append(value)
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("region", pa.int64()), ("part", pa.int32()), ("cid", pa.int64()), ("n", pa.int64()), ("shingles", pa.list_(pa.int64()))]))
+            yield pa.RecordBatch.from_pydict(out, schema=schema)
+
+    return sets.join(pivots, "region").mapInArrow(part, "region long, part int, first boolean, cid long, n long, hub long, shingles array<long>")
 
-    return sets.join(pivots, "region").mapInArrow(part, "region long, part int, cid long, n long, shingles array<long>")
+
+def _blocks(stuck: DataFrame) -> DataFrame:
+    """Regions that parting does not help, dealt into blocks of at most half the bound that meet two by two.
+
+    Documents of one hub are in one component, so blocks of one hub do not meet; a region whose documents all have one hub ends here.
+    """
+    count = F.ceil(F.sum("n") / F.lit(max(1, REGION_SHINGLES // 2))).cast("int")
+    dealt = materialize(stuck.groupBy("region", "hub").agg(count.alias("count")), "jaccard-blocks")
+    hubs = dealt.groupBy("region").agg(F.collect_list(F.struct("hub", "count")).alias("others"))  # PIVOTS hubs of each round at most, and none
+    own = stuck.join(dealt.select("region", F.col("hub").alias("its_hub"), "count"), (stuck.region == dealt.region) & stuck.hub.eqNullSafe(F.col("its_hub"))).select(stuck["*"], "count")
+    own = own.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("count"))).join(hubs, "region")
+    met = own.withColumn("other", F.explode("others")).where("hub IS NULL OR NOT (other.hub <=> hub)")
+    met = met.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("other.count") - 1))).where("NOT (other.hub <=> hub) OR count = 1 OR with <> block")
+    mine, its = F.xxhash64("hub", F.col("block").cast("long")), F.xxhash64("other.hub", F.col("with").cast("long"))
+    return met.select(F.xxhash64("region", F.least(mine, its), F.greatest(mine, its)).alias("region"), "cid", "n", "hub", "shingles")
 
 
 def _join_regions(sets: DataFrame) -> DataFrame:
     """Links (a, b) that connect the components of all regions.
 
-    A region over ``REGION_SHINGLES`` is parted by Spark as long as its largest part has at most ``SHRINK`` of it;
-    one that does not shrink (all of it within a few hundredths of its pivots) is joined by one task, by the same recursion.
+    Each round parts the regions over ``REGION_SHINGLES``.  One whose parts would still meet in nearly as many pairs
+    (sum of squares over ``SHRINK``) goes to ``_blocks``; all others are joined by a task each once they are small.
     """
 
     def join(table: pa.Table) -> pa.Table:
         shingles = table.column("shingles").combine_chunks()
         flat, offsets = shingles.flatten().to_numpy(), shingles.offsets.to_numpy() - shingles.offsets[0].as_py()
-        own, root = join_region(table.column("cid").to_numpy(), np.split(flat, offsets[1:-1]))
+        known = pc.fill_null(table.column("hub"), -1).to_numpy()
+        own, root = join_region(table.column("cid").to_numpy(), np.split(flat, offsets[1:-1]), known)
         return pa.table({"a": own, "b": root})
 
+    def joined(regions: DataFrame) -> DataFrame:
+        return materialize(regions.groupBy("region").applyInArrow(join, "a long, b long"), "jaccard-links")
+
+    sets = sets.select("region", "cid", "n", F.lit(None).cast("long").alias("hub"), "shingles")
     links = []
     while True:
         sizes = sets.groupBy("region").agg(F.sum("n").alias("size"))
         large = materialize(sizes.where(F.col("size") > REGION_SHINGLES), "jaccard-large")
-        split = ready = None
         if large.isEmpty():
-            ready = sets
-        else:
-            parted = materialize(_split(sets.join(large.select("region"), "region", "left_semi")), "jaccard-parts")
-            parts = parted.groupBy("region", "part").agg(F.sum("n").alias("size")).groupBy("region").agg(F.max("size").alias("most"))
-            shrunk = materialize(large.join(parts, "region").where(F.col("most") <= SHRINK * F.col("size")).select("region"), "jaccard-shrunk")
-            ready = sets.join(shrunk, "region", "left_anti")
-            split = parted.join(shrunk, "region", "left_semi").select(F.xxhash64("region", "part").alias("region"), "cid", "n", "shingles")
-        links.append(materialize(ready.groupBy("region").applyInArrow(join, "a long, b long"), "jaccard-links"))
-        if split is None or shrunk.isEmpty():
+            links.append(joined(sets))
+            break
+        links.append(joined(sets.join(large, "region", "left_anti")))
+        parted = materialize(_split(sets.join(large.select("region"), "region", "left_semi")), "jaccard-parts")
+        links.append(parted.where("first AND hub IS NOT NULL").select(F.col("cid").alias("a"), F.col("hub").alias("b")))
+        parts = parted.groupBy("region", "part").agg(F.sum("n").cast("double").alias("size")).groupBy("region").agg(F.sum(F.col("size") * F.col("size")).alias("squares"))
+        helped = materialize(large.join(parts, "region").where(F.col("squares") <= SHRINK * F.col("size") * F.col("size")).select("region"), "jaccard-helped")
+        stuck = parted.where("first").join(helped, "region", "left_anti").select("region", "cid", "n", "hub", "shingles")
+        links.append(joined(_blocks(stuck)))
+        if helped.isEmpty():
             break
-        sets = materialize(split, "jaccard-sets")
+        sets = materialize(parted.join(helped, "region", "left_semi").select(F.xxhash64("region", "part").alias("region"), "cid", "n", "hub", "shingles"), "jaccard-sets")
     out = links[0]
     for more in links[1:]:
         out = out.unionByName(more)

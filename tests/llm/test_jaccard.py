@@ -102,12 +102,32 @@ def test_region_is_exact(monkeypatch):
     assert component == want
 
 
+def test_known_components_are_kept():
+    sets = [np.array(x, np.uint64) for x in ([1, 2, 3], [7, 8], [20, 21], [7, 8, 9])]
+    own, root = jaccard.join_region(np.array([4, 3, 2, 1]), sets, np.array([5, -1, 5, -1]))
+    assert dict(zip(own.tolist(), root.tolist())) == {4: 2}
+
+
+def test_blocks_of_a_region_that_does_not_shrink(spark, monkeypatch):
+    """Every two documents of different hubs (or of none) meet in a block pair, and no pair is over the bound by more than its blocks' spread."""
+    monkeypatch.setattr(jaccard, "REGION_SHINGLES", 2000)
+    rows = [(7, i, 20, None if i % 3 == 0 else i % 3, [i]) for i in range(300)] + [(8, 1000 + i, 20, 5, [i]) for i in range(300)]
+    df = spark.createDataFrame(rows, "region long, cid long, n long, hub long, shingles array<long>")
+    groups = {}
+    for r in jaccard._blocks(df).collect():
+        groups.setdefault(r.region, set()).add(r.cid)
+    assert not any(c >= 1000 for g in groups.values() for c in g)  # one hub: nothing left to find
+    met = {(a, b) for g in groups.values() for a in g for b in g if a < b}
+    assert all((a, b) in met for a in range(300) for b in range(a + 1, 300) if a % 3 == 0 or a % 3 != b % 3)
+    assert max(map(len, groups.values())) * 20 <= 1.6 * 2000
+
+
 def test_against_brute(spark, monkeypatch):
     rows = [(i * 7 % 1009, t) for i, t in enumerate(texts())]
     rows += [(2000, None), (None, rows[200][1]), (None, "only here without id at all"), (rows[300][0], rows[300][1]), (2001, rows[300][1].upper()), (2002, "long " * 30000), (2003, "x" * 100000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_shingles", F.lit("clash"))
     want = brute(rows)
-    for limit in (jaccard.REGION_SHINGLES, 8000):
+    for limit in (jaccard.REGION_SHINGLES, 8000, 700):
         monkeypatch.setattr(jaccard, "REGION_SHINGLES", limit)
         got = jaccard.jaccard_groups(df, "doc_id", "text").collect()
         assert sorted(repr(tuple(r)) for r in got) == want
