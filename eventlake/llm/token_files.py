@@ -38,7 +38,7 @@ SHARD_TOKENS = 4 << 20
 #: Text bytes that one range partition gets on average.
 PARTITION_BYTES = 24 << 20
 READ_TOKENS = 1 << 20
-CACHED_CHUNKS = 300_000
+CACHED_CHUNKS = 700_000
 CACHED_CHARS = 64
 #: The white space that byte-level BPE's pattern counts as such.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -198,7 +198,8 @@ class ChunkEncoder:
     """Whole texts through the tokenizers library, each distinct chunk once.
 
     The pattern of byte-level BPE never joins characters across the cuts made here: a run of white space
-    gives all but its last character as one piece, and only a single space joins the word after it.
+    gives all but its last character as one piece, only a single space joins the word after it, and a run of
+    ASCII letters before another ASCII character is a piece.
     """
 
     def __init__(self, path: str):
@@ -209,7 +210,7 @@ class ChunkEncoder:
             file = json.load(f)
         self.added = [t["content"] for t in file["added_tokens"]]
         self.size = self.library.get_vocab_size(with_added_tokens=True)
-        self.cut = re.compile(f"[{SPACE}]+(?![^{SPACE}])| ?[^{SPACE}]+|[{SPACE}]")
+        self.cut = re.compile(f"[{SPACE}]+(?![^{SPACE}])| ?[A-Za-z]+(?=[!-@\\[-`{{-~])| ?[^{SPACE}]+|[{SPACE}]")
         self.known: dict[str, bytes] = {}
         self.newline = self.library.encode("\n", add_special_tokens=False).ids
 
