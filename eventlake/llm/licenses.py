@@ -1,7 +1,7 @@
 r"""License scans by ordered signature rules (operator 9), native DataFrame operations only.
 
-Texts become lower-case words joined by one space.  Every rule has a keyword; a document tries a rule's regex only if it
-has the keyword, and any rule only if it has one of the ``ANCHORS``.  Detections are intervals of the
+Texts become lower-case words joined by one space.  A document tries a rule's regex only if it holds the literals that every match
+of the regex holds, those of its form and one of its name's, so that the prefilter loses no match.  Detections are intervals of the
 word text.  One that lies inside another of the same or a higher priority is
 suppressed (of equal intervals the higher priority stays, then the earlier rule), which a single pass over the intervals by start decides.
 
@@ -13,6 +13,8 @@ and those of the surviving detections.  ``score`` is the weight of the strongest
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -23,67 +25,65 @@ from eventlake.llm.url_filter import lower_ascii
 #: The phrases that count as base places, and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-ANCHORS = ("licen", "copyright", "spdx", "cc by", "creative commons", "public domain", "rights reserved", "gnu ", "apache 2", "open database")
-
-#: label, keyword, regex of the name, SPDX words.
+#: label, literals, regex of the name, SPDX words.  Every match of the name, with the space before and after it, holds one of the literals.
 FAMILIES = [
-    ("mit", "mit", r"mit", r"mit"),
-    ("mit-0", "mit no attribution", r"mit no attribution", r"mit 0"),
-    ("apache-2", "apache", r"apache (?:software )?(?:license )?(?:version |v )?2(?: 0)?", r"apache 2 0"),
-    ("apache-1.1", "apache", r"apache (?:software )?(?:license )?(?:version )?1 1", r"apache 1 1"),
-    ("bsd-2-clause", "bsd", r"(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)", r"bsd 2 clause"),
-    ("bsd-3-clause", "bsd", r"(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd)", r"bsd 3 clause"),
-    ("bsd-4-clause", "bsd", r"(?:bsd 4 clause|4 clause bsd|original bsd)", r"bsd 4 clause"),
-    ("0bsd", "bsd", r"(?:0bsd|zero clause bsd|bsd zero clause)", r"0bsd"),
-    ("bsd", "bsd", r"bsd", r"bsd"),
-    ("gpl-1", "g", r"(?:gnu )?(?:general public license|gpl) (?:version |v )?1(?: 0)?", r"gpl 1 0(?: only| or later)?"),
-    ("gpl-2", "g", r"(?:gnu )?(?:general public license|gpl) ?(?:version |v ?)?2(?: 0)?", r"gpl 2 0(?: only| or later)?"),
-    ("gpl-3", "g", r"(?:gnu )?(?:general public license|gpl) ?(?:version |v ?)?3(?: 0)?", r"gpl 3 0(?: only| or later)?"),
-    ("gpl", "g", r"(?:gnu general public license|gnu gpl|gpl)", r"gpl"),
-    ("lgpl-2", "l", r"(?:gnu )?(?:library general public license|lgpl) ?(?:version |v ?)?2(?: 0)?", r"lgpl 2 0(?: only| or later)?"),
-    ("lgpl-2.1", "l", r"(?:gnu )?(?:lesser general public license|lgpl) ?(?:version |v ?)?2 1", r"lgpl 2 1(?: only| or later)?"),
-    ("lgpl-3", "l", r"(?:gnu )?(?:lesser general public license|lgpl) ?(?:version |v ?)?3(?: 0)?", r"lgpl 3 0(?: only| or later)?"),
-    ("lgpl", "l", r"(?:gnu lesser general public license|gnu lgpl|lgpl)", r"lgpl"),
-    ("agpl-3", "a", r"(?:gnu )?(?:affero general public license|agpl) ?(?:version |v ?)?3(?: 0)?", r"agpl 3 0(?: only| or later)?"),
-    ("agpl", "a", r"(?:gnu affero general public license|gnu agpl|agpl)", r"agpl"),
-    ("gfdl", "free documentation", r"(?:gnu )?free documentation license(?: version 1 [123])?", r"gfdl 1 [123](?: only| or later)?"),
-    ("mpl-1.1", "m", r"(?:mozilla public license|mpl) ?(?:version |v )?1 1", r"mpl 1 1"),
-    ("mpl-2", "m", r"(?:mozilla public license|mpl) ?(?:version |v )?2(?: 0)?", r"mpl 2 0"),
-    ("epl-1", "e", r"(?:eclipse public license|epl) ?(?:version |v )?1(?: 0)?", r"epl 1 0"),
-    ("epl-2", "e", r"(?:eclipse public license|epl) ?(?:version |v )?2(?: 0)?", r"epl 2 0"),
-    ("cddl", "c", r"(?:common development and distribution license|cddl)(?: (?:version )?1 [01])?", r"cddl 1 [01]"),
-    ("cpl", "common public", r"common public license(?: (?:version )?1 0)?", r"cpl 1 0"),
-    ("eupl", "eu", r"(?:european union public licen[cs]e|eupl)(?: (?:version |v )?1 [012])?", r"eupl 1 [012]"),
-    ("artistic-2", "artistic", r"artistic license (?:version )?2(?: 0)?", r"artistic 2 0"),
-    ("artistic", "artistic", r"artistic(?: license)?", r"artistic 1 0"),
-    ("isc", "isc", r"isc", r"isc"),
-    ("zlib", "zlib", r"zlib", r"zlib"),
-    ("boost", "b", r"(?:boost software license|bsl)(?: (?:version )?1 0)?", r"bsl 1 0"),
-    ("unlicense", "unlicense", r"unlicense", r"unlicense"),
-    ("wtfpl", "wtfpl", r"wtfpl", r"wtfpl"),
-    ("postgresql", "postgresql", r"postgresql", r"postgresql"),
-    ("python-2", "python", r"python (?:software foundation )?(?:license )?(?:version )?2(?: 0)?", r"python 2 0"),
-    ("openssl", "openssl", r"openssl", r"openssl"),
-    ("ofl-1.1", "o", r"(?:sil )?(?:open font license|ofl)(?: (?:version )?1 1)?", r"ofl 1 1"),
-    ("odbl", "o", r"(?:open database license|odbl)(?: (?:version |v )?1 0)?", r"odbl 1 0"),
-    ("cc0", "c", r"(?:cc0|cc zero|creative commons zero)(?: 1 0)?", r"cc0 1 0"),
-    ("cc-by", "c", r"(?:cc by|creative commons attribution)(?: [1-4] [05])?", r"cc by [1-4] [05]"),
-    ("cc-by-sa", "c", r"(?:cc by sa|creative commons attribution share ?alike)(?: [1-4] [05])?", r"cc by sa [1-4] [05]"),
-    ("cc-by-nd", "c", r"(?:cc by nd|creative commons attribution no ?derivatives)(?: [1-4] [05])?", r"cc by nd [1-4] [05]"),
-    ("cc-by-nc", "c", r"(?:cc by nc|creative commons attribution non ?commercial)(?: [1-4] [05])?", r"cc by nc [1-4] [05]"),
-    ("cc-by-nc-sa", "c", r"(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)(?: [1-4] [05])?", r"cc by nc sa [1-4] [05]"),
-    ("cc-by-nc-nd", "c", r"(?:cc by nc nd|creative commons attribution non ?commercial no ?derivatives)(?: [1-4] [05])?", r"cc by nc nd [1-4] [05]"),
-    ("proprietary", "rights reserved", r"all rights reserved", r"proprietary"),
-    ("public-domain", "public domain", r"(?:dedicated to|placed in|in) the public domain", r"public domain"),
+    ("mit", " mit ", r"mit", r"mit"),
+    ("mit-0", " mit no attribution ", r"mit no attribution", r"mit 0"),
+    ("apache-2", " apache ", r"apache (?:software )?(?:license )?(?:version |v )?2(?: 0)?", r"apache 2 0"),
+    ("apache-1.1", " apache ", r"apache (?:software )?(?:license )?(?:version )?1 1", r"apache 1 1"),
+    ("bsd-2-clause", " bsd | freebsd ", r"(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)", r"bsd 2 clause"),
+    ("bsd-3-clause", " bsd ", r"(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd)", r"bsd 3 clause"),
+    ("bsd-4-clause", " bsd ", r"(?:bsd 4 clause|4 clause bsd|original bsd)", r"bsd 4 clause"),
+    ("0bsd", " bsd | 0bsd ", r"(?:0bsd|zero clause bsd|bsd zero clause)", r"0bsd"),
+    ("bsd", " bsd ", r"bsd", r"bsd"),
+    ("gpl-1", " gpl | general public license ", r"(?:gnu )?(?:general public license|gpl) (?:version |v )?1(?: 0)?", r"gpl 1 0(?: only| or later)?"),
+    ("gpl-2", " gpl| general public license", r"(?:gnu )?(?:general public license|gpl) ?(?:version |v ?)?2(?: 0)?", r"gpl 2 0(?: only| or later)?"),
+    ("gpl-3", " gpl| general public license", r"(?:gnu )?(?:general public license|gpl) ?(?:version |v ?)?3(?: 0)?", r"gpl 3 0(?: only| or later)?"),
+    ("gpl", " gpl | gnu general public license ", r"(?:gnu general public license|gnu gpl|gpl)", r"gpl"),
+    ("lgpl-2", " lgpl| library general public license", r"(?:gnu )?(?:library general public license|lgpl) ?(?:version |v ?)?2(?: 0)?", r"lgpl 2 0(?: only| or later)?"),
+    ("lgpl-2.1", " lgpl| lesser general public license", r"(?:gnu )?(?:lesser general public license|lgpl) ?(?:version |v ?)?2 1", r"lgpl 2 1(?: only| or later)?"),
+    ("lgpl-3", " lgpl| lesser general public license", r"(?:gnu )?(?:lesser general public license|lgpl) ?(?:version |v ?)?3(?: 0)?", r"lgpl 3 0(?: only| or later)?"),
+    ("lgpl", " lgpl | gnu lesser general public license ", r"(?:gnu lesser general public license|gnu lgpl|lgpl)", r"lgpl"),
+    ("agpl-3", " agpl| affero general public license", r"(?:gnu )?(?:affero general public license|agpl) ?(?:version |v ?)?3(?: 0)?", r"agpl 3 0(?: only| or later)?"),
+    ("agpl", " agpl | gnu affero general public license ", r"(?:gnu affero general public license|gnu agpl|agpl)", r"agpl"),
+    ("gfdl", " free documentation license ", r"(?:gnu )?free documentation license(?: version 1 [123])?", r"gfdl 1 [123](?: only| or later)?"),
+    ("mpl-1.1", " mpl| mozilla public license", r"(?:mozilla public license|mpl) ?(?:version |v )?1 1", r"mpl 1 1"),
+    ("mpl-2", " mpl| mozilla public license", r"(?:mozilla public license|mpl) ?(?:version |v )?2(?: 0)?", r"mpl 2 0"),
+    ("epl-1", " epl| eclipse public license", r"(?:eclipse public license|epl) ?(?:version |v )?1(?: 0)?", r"epl 1 0"),
+    ("epl-2", " epl| eclipse public license", r"(?:eclipse public license|epl) ?(?:version |v )?2(?: 0)?", r"epl 2 0"),
+    ("cddl", " cddl | common development and distribution license ", r"(?:common development and distribution license|cddl)(?: (?:version )?1 [01])?", r"cddl 1 [01]"),
+    ("cpl", " common public license ", r"common public license(?: (?:version )?1 0)?", r"cpl 1 0"),
+    ("eupl", " eupl | european union public licen", r"(?:european union public licen[cs]e|eupl)(?: (?:version |v )?1 [012])?", r"eupl 1 [012]"),
+    ("artistic-2", " artistic license ", r"artistic license (?:version )?2(?: 0)?", r"artistic 2 0"),
+    ("artistic", " artistic ", r"artistic(?: license)?", r"artistic 1 0"),
+    ("isc", " isc ", r"isc", r"isc"),
+    ("zlib", " zlib ", r"zlib", r"zlib"),
+    ("boost", " bsl | boost software license ", r"(?:boost software license|bsl)(?: (?:version )?1 0)?", r"bsl 1 0"),
+    ("unlicense", " unlicense ", r"unlicense", r"unlicense"),
+    ("wtfpl", " wtfpl ", r"wtfpl", r"wtfpl"),
+    ("postgresql", " postgresql ", r"postgresql", r"postgresql"),
+    ("python-2", " python ", r"python (?:software foundation )?(?:license )?(?:version )?2(?: 0)?", r"python 2 0"),
+    ("openssl", " openssl ", r"openssl", r"openssl"),
+    ("ofl-1.1", " ofl | open font license ", r"(?:sil )?(?:open font license|ofl)(?: (?:version )?1 1)?", r"ofl 1 1"),
+    ("odbl", " odbl | open database license ", r"(?:open database license|odbl)(?: (?:version |v )?1 0)?", r"odbl 1 0"),
+    ("cc0", " cc0 | cc zero | creative commons zero ", r"(?:cc0|cc zero|creative commons zero)(?: 1 0)?", r"cc0 1 0"),
+    ("cc-by", " cc by | creative commons attribution ", r"(?:cc by|creative commons attribution)(?: [1-4] [05])?", r"cc by [1-4] [05]"),
+    ("cc-by-sa", " cc by sa | creative commons attribution share", r"(?:cc by sa|creative commons attribution share ?alike)(?: [1-4] [05])?", r"cc by sa [1-4] [05]"),
+    ("cc-by-nd", " cc by nd | creative commons attribution no", r"(?:cc by nd|creative commons attribution no ?derivatives)(?: [1-4] [05])?", r"cc by nd [1-4] [05]"),
+    ("cc-by-nc", " cc by nc | creative commons attribution non", r"(?:cc by nc|creative commons attribution non ?commercial)(?: [1-4] [05])?", r"cc by nc [1-4] [05]"),
+    ("cc-by-nc-sa", " cc by nc sa | creative commons attribution non", r"(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)(?: [1-4] [05])?", r"cc by nc sa [1-4] [05]"),
+    ("cc-by-nc-nd", " cc by nc nd | creative commons attribution non", r"(?:cc by nc nd|creative commons attribution non ?commercial no ?derivatives)(?: [1-4] [05])?", r"cc by nc nd [1-4] [05]"),
+    ("proprietary", " all rights reserved ", r"all rights reserved", r"proprietary"),
+    ("public-domain", " the public domain ", r"(?:dedicated to|placed in|in) the public domain", r"public domain"),
 ]
-#: kind, priority, weight, keyword, template; {n}: the name, {s}: the SPDX words.
+#: kind, priority, weight, literal of every match, template; {n}: the name, {s}: the SPDX words.
 FORMS = [
-    ("identifier", 3, 1.0, "spdx", r"spdx license identifier {s}"),
-    ("grant", 3, 0.95, "under the", r"(?:licensed|released|distributed|available|published|provided|covered) under the (?:terms (?:and conditions )?of the )?{n}(?: license)?(?: version [0-9]+)?"),
-    ("short-grant", 3, 0.9, "under", r"(?:licensed|released|distributed|available|published) under (?:a |an )?{n}(?: license)?"),
-    ("title", 2, 0.8, "licen", r"{n} licen[cs]e"),
-    ("license-of", 2, 0.7, "licen", r"licen[cs]e {n}"),
-    ("see", 2, 0.7, "see", r"see the {n} (?:license )?for"),
+    ("identifier", 3, 1.0, " spdx license identifier ", r"spdx license identifier {s}"),
+    ("grant", 3, 0.95, " under the ", r"(?:licensed|released|distributed|available|published|provided|covered) under the (?:terms (?:and conditions )?of the )?{n}(?: license)?(?: version [0-9]+)?"),
+    ("short-grant", 3, 0.9, " under ", r"(?:licensed|released|distributed|available|published) under (?:a |an )?{n}(?: license)?"),
+    ("title", 2, 0.8, " licen", r"{n} licen[cs]e"),
+    ("license-of", 2, 0.7, " licen", r"licen[cs]e {n}"),
+    ("see", 2, 0.7, " see the ", r"see the {n} (?:license )?for"),
 ]
 #: Names that say enough by themselves.
 BARE = ("proprietary", "public-domain", "cc0", "gpl-2", "gpl-3", "lgpl-2.1", "lgpl-3", "agpl-3", "apache-2", "mpl-2", "cc-by", "cc-by-sa", "cc-by-nd", "cc-by-nc", "cc-by-nc-sa", "cc-by-nc-nd", "unlicense", "odbl", "gfdl")
@@ -91,20 +91,31 @@ BARE = ("proprietary", "public-domain", "cc0", "gpl-2", "gpl-3", "lgpl-2.1", "lg
 
 @dataclass(frozen=True)
 class Rule:
-    """One signature; ``regex`` matches whole words of the word text, without the space before it."""
+    """One signature; ``regex`` matches whole words of the word text, without the space before it.
+
+    A text with a match holds all ``keywords`` and at least one of ``names``.
+    """
 
     label: str
     priority: int
     weight: float
-    keywords: tuple[str, str]
+    keywords: tuple[str, ...]
+    names: tuple[str, ...]
     regex: str
 
 
 def signature_rules() -> list[Rule]:
     """Every family in every form, then the bare names: priority first, then the order of the tables."""
-    rules = [Rule(label, priority, weight, (word, key), "(?<= )" + form.format(n=f"(?:{name})", s=f"(?:{spdx})") + "(?= )") for _, priority, weight, key, form in FORMS for label, word, name, spdx in FAMILIES]
-    rules += [Rule(label, 1, 0.6, (word, word), f"(?<= )(?:{name})(?= )") for label, word, name, _ in FAMILIES if label in BARE]
-    return rules
+    rules = []
+    for kind, priority, weight, key, form in FORMS:
+        for label, names, name, spdx in FAMILIES:
+            regex = "(?<= )" + form.format(n=f"(?:{name})", s=f"(?:{spdx})") + "(?= )"
+            rules.append(Rule(label, priority, weight, (key,), (key,) if kind == "identifier" else tuple(names.split("|")), regex))
+    return rules + [Rule(label, 1, 0.6, (), tuple(names.split("|")), f"(?<= )(?:{name})(?= )") for label, names, name, _ in FAMILIES if label in BARE]
+
+
+#: A text without any of these has no match of any rule.
+ANCHORS = tuple(dict.fromkeys(n for r in signature_rules() for n in r.names))
 
 
 def word_text(text: Column) -> Column:
@@ -135,13 +146,26 @@ def _base_columns(words: Column) -> dict[str, Column]:
 
 
 def _rules_literal(rules: list[Rule]) -> Column:
-    one = lambda i, r: F.struct(F.lit(i).alias("id"), F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"), F.lit(r.weight).alias("weight"), F.lit(r.keywords[0]).alias("word"), F.lit(r.keywords[1]).alias("key"), F.lit(r.regex).alias("regex"))
+    one = lambda i, r: F.struct(F.lit(i).alias("id"), F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"), F.lit(r.weight).alias("weight"), F.array(*map(F.lit, r.keywords)).cast("array<string>").alias("keywords"), F.array(*map(F.lit, r.names)).alias("names"), F.lit(r.regex).alias("regex"))
     return F.array(*(one(i, r) for i, r in enumerate(rules)))
 
 
+def _holds_any(words: Column, literals: Iterable[str]) -> Column:
+    return functools.reduce(lambda a, b: a | b, (F.contains(words, F.lit(x)) for x in dict.fromkeys(literals)), F.lit(False))
+
+
+def gate(words: Column, rules: list[Rule]) -> Column:
+    """False only for texts that no rule matches."""
+    bare, formed = [r for r in rules if not r.keywords], [r for r in rules if r.keywords]
+    by_form = _holds_any(words, (r.keywords[0] for r in formed)) & _holds_any(words, (n for r in formed for n in r.names))
+    return _holds_any(words, (n for r in bare for n in r.names)) | by_form
+
+
 def detections(words: Column, rules: list[Rule]) -> Column:
     """All matches of all rules by start, longer and higher ones first: start, -end, -priority, id, label, weight."""
-    tried = F.filter(_rules_literal(rules), lambda r: F.contains(words, r["word"]) & F.contains(words, r["key"]))
+    literals = F.array(*map(F.lit, dict.fromkeys(x for r in rules for x in (*r.keywords, *r.names)))).cast("array<string>")
+    held = F.array(F.filter(literals, lambda x: F.contains(words, x)))  # one element, so that it is evaluated once and not for each rule
+    tried = F.flatten(F.transform(held, lambda h: F.filter(_rules_literal(rules), lambda r: F.arrays_overlap(r["names"], h) & F.forall(r["keywords"], lambda k: F.array_contains(h, k)))))
     fitting = F.filter(tried, lambda r: F.rlike(words, r["regex"]))
 
     def places(rule: Column) -> Column:
@@ -183,12 +207,9 @@ def scan_licenses(df: DataFrame, id_col: str, text_col: str, rules: list[Rule] |
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     words = df.select(F.col(f"`{id_col}`"), word_text(text).alias("_words"))
     w = F.col("_words")
-    gate = F.lit(False)
-    for anchor in ANCHORS:
-        gate = gate | F.contains(w, F.lit(anchor))
     empty = F.struct(F.array().cast("array<string>").alias("labels"), F.lit(0.0).alias("weight"))
     first = words.withColumns(_base_columns(w)).withColumn("n_words", F.when(w == "  ", F.lit(0)).otherwise(_spaces(w) - 1).cast("long"))
-    found = first.withColumn("found", F.when(gate, surviving(detections(w, rules))).otherwise(empty))
+    found = first.withColumn("found", F.when(gate(w, rules), surviving(detections(w, rules))).otherwise(empty))
     joined = lambda c: F.array_join(F.sort_array(c), ",")
     return found.select(
         F.col(f"`{id_col}`"), "n_words", "n_base", "first_word", "last_word",

@@ -1,4 +1,5 @@
 import re
+from re import _parser
 
 import pytest
 
@@ -59,3 +60,56 @@ def test_query(spark, sf):
     texts = {r.doc_id: r.text for r in queries.table(spark, folder, "documents").collect()}
     for r in query.collect():
         assert tuple(r)[1:] == brute(texts[r.doc_id])
+
+
+def ungated(text):
+    """Labels and score by all regexes, without any literal."""
+    low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+    spaced = f" {' '.join(words)} "
+    found = sorted((m.start(), -m.end(), -rule.priority, i) for i, rule in enumerate(RULES) for m in re.finditer(rule.regex, spaced))
+    kept = [i for n, (start, back, down, i) in enumerate(found) if not any(s <= start and b <= back and d <= down for s, b, d, _ in found[:n])]
+    labels = {RULES[i].label for i in kept} | {label for phrase, label in licenses.BASE.items() if f" {phrase} " in spaced}
+    return ",".join(sorted(labels)), max((RULES[i].weight for i in kept), default=0.0)
+
+
+def test_prefilter_loses_no_match(spark):
+    """Rules fire without the word license or a family's long name, and so do all SPDX ids."""
+    few = {
+        "released under GPL v2": "gpl-2", "distributed under the MPL 2.0": "mpl-2", "available under the BSD 3-clause": "bsd-3-clause", "this code is AGPLv3": "agpl-3", "cc0": "cc0", "see the GPL for details": "gpl",
+        "SPDX-License-Identifier: GFDL-1.3-or-later": "gfdl", "SPDX-License-Identifier: CPL-1.0": "cpl", "SPDX-License-Identifier: proprietary": "proprietary",
+    }
+    texts = [*few, *TEXTS, *(r.text for r in queries.table(spark, "/root/testdata/sf0.001", "documents").collect())]
+    texts += [f"SPDX-License-Identifier: {re.sub(r'\[(.).*?\]', r'\1', spdx.split('(')[0])}" for _, _, _, spdx in licenses.FAMILIES]
+    got = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text").collect()
+    for r in got:
+        assert (r.labels, r.score) == ungated(texts[r.doc_id]), texts[r.doc_id]
+    assert [r.labels for r in sorted(got, key=lambda r: r.doc_id)[: len(few)]] == list(few.values())
+    assert all(r.score == 1.0 for r in got if r.doc_id >= len(texts) - len(licenses.FAMILIES))
+
+
+def strings(parsed):
+    """All texts of a parsed regex; [0-9]+ is one digit."""
+    out = [""]
+    for kind, value in parsed:
+        if kind is _parser.LITERAL:
+            more = [chr(value)]
+        elif kind is _parser.IN:
+            more = [chr(x) for k, v in value for x in ([v] if k is _parser.LITERAL else [v[0]])]
+        elif kind is _parser.BRANCH:
+            more = [t for b in value[1] for t in strings(b)]
+        elif kind is _parser.SUBPATTERN:
+            more = strings(value[3])
+        elif kind is _parser.MAX_REPEAT:
+            more = ([""] if value[0] == 0 else []) + strings(value[2])
+        else:
+            assert kind is _parser.ASSERT
+            continue
+        out = [a + b for a in out for b in more]
+    return out
+
+
+def test_literals_are_in_every_match():
+    for rule in RULES:
+        for text in strings(_parser.parse(rule.regex)):
+            assert all(k in f" {text} " for k in rule.keywords) and any(n in f" {text} " for n in rule.names), (rule, text)
