@@ -7,11 +7,11 @@ probability of at least the wanted grade, which selects it.
 Features are present or absent: each word (lower-cased, bare of punctuation), the first four
 letters of longer words, the punctuation that ends it, words in capitals, and bands of the share of repeated words and of words without letters, all hashed to ``BITS`` bits.
 
-The model is fitted on the ``TRAIN_ROWS`` labelled documents with the least hash of their id (a documented bound), by proximal
+The model is fitted on the ``TRAIN_ROWS`` labelled documents with the least hash of their id (a documented bound), one row for each id, by proximal
 gradient steps with an L1 penalty, so that only features with evidence keep a weight.  Scoring covers every document whole.
 
 Contract: labels that are null or whose document is missing do not train; of a document's several labels
-the lowest grade counts.  Without any labels, or with one grade only, every document has that grade (the highest, without labels).  A null
+the lowest grade counts, of several documents of one id the least text.  Without any labels, or with one grade only, every document has that grade (the highest, without labels).  A null
 text is "".  Each row gives one row, repeated rows too.  ``score_documents`` reads no other columns, ``keep_good`` returns all.
 """
 
@@ -155,10 +155,11 @@ def fit(rows: list[np.ndarray], grades: list[int], steps: int = STEPS, l1: float
 def train(documents: DataFrame, id_col: str, text_col: str, grades: DataFrame, grade_col: str, rows: int = TRAIN_ROWS) -> OrdinalModel:
     """``grades``: id and grade.  At most ``rows`` labelled documents train, those with the least hash of their id."""
     labelled = grades.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{grade_col}`").cast("int").alias("grade")).where("id is not null and grade is not null")
-    chosen = labelled.groupBy("id").agg(F.min("grade").alias("grade")).orderBy(F.xxhash64("id"), "id").limit(rows)
-    few = documents.sparkSession.createDataFrame(chosen.collect(), chosen.schema)  # bounded by ``rows``
     texts = documents.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    joined = texts.join(F.broadcast(few), "id").select("grade", "id", "text")
+    found = labelled.groupBy("id").agg(F.min("grade").alias("grade")).join(texts.select("id").distinct(), "id", "left_semi")
+    chosen = found.orderBy(F.xxhash64("id"), "id").limit(rows)
+    few = documents.sparkSession.createDataFrame(chosen.collect(), chosen.schema)  # bounded by ``rows``
+    joined = texts.join(F.broadcast(few), "id").groupBy("grade", "id").agg(F.min("text").alias("text"))  # a row for each id
 
     def work():
         def step(keys, texts):
@@ -167,14 +168,12 @@ def train(documents: DataFrame, id_col: str, text_col: str, grades: DataFrame, g
         return step
 
     kind = dict(joined.dtypes)["id"]
-    got = map_texts(joined, ["grade", "id"], "text", f"grade int, id {kind}, x array<long>", work)
-    found = {}
-    for r in got.limit(2 * rows).toLocalIterator():
-        found[r.id] = min(found.get(r.id, (r.grade, r.x)), (r.grade, r.x))
-    order = sorted(found)
+    got = map_texts(joined, ["grade", "id"], "text", f"grade int, id {kind}, x array<long>", work).toArrow()
+    ids, levels, x = got.column("id").to_pylist(), got.column("grade").to_pylist(), got.column("x").combine_chunks()
+    order = sorted(range(len(ids)), key=ids.__getitem__)
     if not order:
         return OrdinalModel([], np.empty(0))
-    return fit([np.array(found[i][1], np.int64) for i in order], [found[i][0] for i in order])
+    return fit([x[i].values.to_numpy() for i in order], [levels[i] for i in order])
 
 
 def _judge(model: OrdinalModel, texts: list[str], wanted: int) -> tuple[np.ndarray, np.ndarray]:

@@ -51,3 +51,17 @@ def test_rows(spark):
         assert quality.score_documents(df, "doc_id", "text", only, 1).where("kept").count() == len(rows)
     assert quality.score_documents(df.limit(0), "doc_id", "text", model, 1).count() == 0
     assert quality.keep_good(df.limit(0), "text", model, 1).count() == 0
+
+
+def test_repeated_and_missing_documents(spark):
+    """A document that is repeated, and labels without a document, leave the bound to the other documents."""
+    good, bad = "a fine day for a walk", "BUY!! NOW!! CHEAP!! PILLS!!"
+    rows = [(i, good if i % 2 else bad) for i in range(20)]
+    grades = [(i, i % 2) for i in range(20)]
+    frame = lambda r: spark.createDataFrame(r, "doc_id long, text string")
+    labels = lambda r: spark.createDataFrame(r, "doc_id long, grade int")
+    want = quality.train(frame(rows), "doc_id", "text", labels(grades), "grade", 20)
+    assert want.grades == [0, 1] and want.weights
+    for docs, some in (([(0, bad)] * 400 + rows, grades), (rows, grades + [(i, 0) for i in range(1000, 3000)])):
+        got = quality.train(frame(docs), "doc_id", "text", labels(some), "grade", 20)
+        assert got.grades == want.grades and got.weights == want.weights and list(got.thresholds) == list(want.thresholds)
