@@ -20,8 +20,9 @@ def record_id(source: str, source_object: str, locator: str, payload_hash: str)
     return F.sha2(F.concat_ws(SEPARATOR, *(F.col(c) for c in (source, source_object, locator, payload_hash))), 256)
 
 
-def quarantine_id(record: str, error: str) -> Column:
-    return F.sha2(F.concat_ws("|", F.col(record), F.col(error)), 256)
+def quarantine_id(record: str, ordinal: str, key: str, payload_hash: str, error: str) -> Column:
+    """One identity for each event of a record, so that several bad events of a file stay apart."""
+    return F.sha2(F.concat_ws("|", record, F.col(ordinal).cast("string"), F.coalesce(key, F.lit("")), payload_hash, error), 256)
 
 
 def envelopes(records: DataFrame, run_id: str, ingested_at: datetime | None = None) -> DataFrame:

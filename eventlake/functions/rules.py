@@ -18,14 +18,16 @@ class Rule:
 
 #: Codes and limits of the quality contract, in order of precedence.
 CORE_RULES = (
+    Rule("MALFORMED_PAYLOAD", "malformed"),
     Rule("MISSING_EVENT_ID", "event_id IS NULL"),
     Rule("MISSING_MATCH_ID", "match_id IS NULL"),
     Rule("MISSING_TEAM_ID", "team_id IS NULL"),
     Rule("INVALID_MATCH_MINUTE", "minute IS NULL OR minute NOT BETWEEN 0 AND 130"),
 )
+#: ``match_known``: true where the event's match exists, whatever its columns hold.
 REFERENCE_RULES = (
-    Rule("UNKNOWN_MATCH", "home_team_id IS NULL"),
-    Rule("INVALID_TEAM_MATCH_RELATIONSHIP", "team_id <> home_team_id AND team_id <> away_team_id"),
+    Rule("UNKNOWN_MATCH", "match_known IS NULL"),
+    Rule("INVALID_TEAM_MATCH_RELATIONSHIP", "NOT (team_id <=> home_team_id OR team_id <=> away_team_id)"),
 )
 CORRECTION = "EVENT_CORRECTION_REQUIRES_REVIEW"
 EXACT_DUPLICATE = "EXACT_DUPLICATE"

@@ -41,14 +41,24 @@ def reason_text(reason: str | None) -> str:
     return reason.strip()
 
 
-def select_for_resolution(quarantine: DataFrame, ids: list[str]) -> DataFrame:
-    """The rows of all ids; an error unless each id is there, a correction, and still open."""
-    chosen = quarantine.where(F.col("quarantine_id").isin(ids) & (F.col("error_type") == CORRECTION) & ~F.col("status").isin(*CLOSED))
-    if chosen.count() != len(set(ids)):
+def select_for_resolution(quarantine: DataFrame, ids: list[str] | DataFrame) -> DataFrame:
+    """The rows of all ids (a list, or a table's first column); an error unless each id is there, a correction, and still open."""
+    open_rows = quarantine.where((F.col("error_type") == CORRECTION) & ~F.col("status").isin(*CLOSED))
+    if isinstance(ids, DataFrame):
+        wanted = ids.select(F.col(f"`{ids.columns[0]}`").alias("quarantine_id")).distinct()
+        chosen, expected = open_rows.join(wanted, "quarantine_id", "left_semi"), wanted.count()
+    else:
+        chosen, expected = open_rows.where(F.col("quarantine_id").isin(ids)), len(set(ids))
+    if not expected or chosen.count() != expected:
         raise ValueError("every id must be an open correction in quarantine")
     return chosen
 
 
+def select_for_replay(quarantine: DataFrame, record_ids: list[str]) -> DataFrame:
+    """The open rows of the records."""
+    return quarantine.where(F.col("bronze_record_id").isin(record_ids) & F.col("status").isin(*REPLAYABLE))
+
+
 def audit(rows: DataFrame, kind: str, run_id: str, note: Column, at: Column | None = None) -> DataFrame:
     """Rows after a transition, with an explicit list of columns."""
     t = TRANSITIONS[kind]
@@ -63,5 +73,13 @@ def audit(rows: DataFrame, kind: str, run_id: str, note: Column, at: Column | No
 
 def split_by_original(candidates: DataFrame, existing: DataFrame) -> DataFrame:
     """``problem`` is null where the original event exists.  One left join with a flag."""
-    known = existing.select("event_id").where("event_id is not null").distinct().withColumn("known", F.lit(True))
-    return candidates.join(known, "event_id", "left").withColumn("problem", F.when(F.col("known").isNull(), F.lit(NOT_FOUND))).drop("known")
+    known = existing.select("event_id").where("event_id is not null").distinct().withColumn("_original", F.lit(True))
+    return candidates.join(known, "event_id", "left").withColumn("problem", F.when(F.col("_original").isNull(), F.lit(NOT_FOUND))).drop("_original")
+
+
+def judged(chosen: DataFrame, checked: DataFrame, run_id: str, note: Column) -> DataFrame:
+    """The chosen rows after approval; those with a problem, or without a checked event, fail with the problem in their note."""
+    found = checked.groupBy("quarantine_id").agg(F.max("problem").alias("problem"), F.lit(True).alias("seen"))
+    rows = chosen.join(found, "quarantine_id", "left").withColumn("problem", F.coalesce("problem", F.when(F.col("seen").isNull(), F.lit(NOT_FOUND)))).drop("seen")
+    failed, passed = rows.where("problem is not null"), rows.where("problem is null").drop("problem")
+    return audit(failed, "approve_failed", run_id, F.concat_ws(" | ", "problem", note)).drop("problem").unionByName(audit(passed, "approve", run_id, note))

@@ -1,4 +1,7 @@
-"""Marts (A2-A4) and the questions asked of them (Q1-Q7).  Scopes of affected keys apply below the aggregations."""
+"""Marts (A2-A4) and the questions asked of them (Q1-Q7).  Scopes of affected keys apply below the aggregations.
+
+Fixed values: the names and the order of the marts' columns.
+"""
 
 from __future__ import annotations
 
@@ -24,9 +27,9 @@ def match_summary(matches: DataFrame, events: DataFrame, affected: DataFrame | N
 
 
 def team_performance(matches: DataFrame, affected: DataFrame | None = None) -> DataFrame:
-    """Both sides from one scan; a renamed team keeps one row, with its greatest name."""
+    """Both sides from one scan; a renamed team keeps one row, with its greatest name.  A side without a team id has no row."""
     side = lambda a, b: f"struct({a}_team_id AS team_id, {a}_team_name AS team_name, {a}_score AS gf, {b}_score AS ga)"
-    rows = matches.selectExpr(f"inline(array({side('home', 'away')}, {side('away', 'home')}))")
+    rows = matches.selectExpr(f"inline(array({side('home', 'away')}, {side('away', 'home')}))").where("team_id IS NOT NULL")
     if affected is not None:
         rows = rows.join(affected, "team_id", "left_semi")
     table = rows.groupBy("team_id").agg(

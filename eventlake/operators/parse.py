@@ -1,4 +1,4 @@
-"""Raw payloads to typed tables (P1-P4): declared schemas, malformed payloads give no rows, odd values give nulls."""
+"""Raw payloads to typed tables (P1-P4): declared schemas, odd values give nulls, and a payload that is not JSON of the kind gives one malformed event."""
 
 from __future__ import annotations
 
@@ -38,18 +38,36 @@ def parse_lineups(bronze: DataFrame) -> DataFrame:
 
 
 def parse_events(bronze: DataFrame) -> DataFrame:
-    """Event files (arrays) and single events, by one path."""
-    x = _items(bronze, ("events", "synthetic_event"), schemas.EVENT, "bronze_record_id", "source", "source_match_id", "variant_type", "pipeline_run_id")
+    """Event files (arrays) and single events, by one path.  ``ordinal``: the event's place in its file.
+
+    What cannot be read stays as a row with ``malformed`` set: a whole payload, or an element that is null.
+    """
+    rows = bronze.where(F.col("source_object").isin("events", "synthetic_event"))
+    kind = schemas.array_of(schemas.EVENT)
+    items = F.coalesce(F.from_json("raw_payload", kind), F.from_json(F.lit("[null]"), kind))
+    x = rows.select("bronze_record_id", "source", "source_match_id", "variant_type", "pipeline_run_id", "raw_payload", F.posexplode(items).alias("ordinal", "x"))
     return x.selectExpr(
-        "bronze_record_id", "source", "variant_type", "pipeline_run_id", "try_cast(source_match_id AS BIGINT) AS match_id",
+        "bronze_record_id", "ordinal", "source", "variant_type", "pipeline_run_id", "try_cast(source_match_id AS BIGINT) AS match_id",
         "x.id AS event_id", "x.index AS event_index", "x.period", "x.timestamp AS event_clock", "x.minute", "x.second", "upper(x.type.name) AS event_type",
         "x.team.id AS team_id", "x.team.name AS team_name", "x.player.id AS player_id", "x.player.name AS player_name",
         "upper(x.shot.outcome.name) AS shot_outcome",
         "upper(coalesce(x.foul_committed.card.name, x.bad_behaviour.card.name)) AS card_type",
-        "sha2(to_json(x), 256) AS event_payload_hash",
+        "sha2(coalesce(to_json(x), raw_payload, ''), 256) AS event_payload_hash", "x IS NULL AS malformed",
     )
 
 
+def unreadable_files(bronze: DataFrame, like: DataFrame) -> DataFrame:
+    """Match and line-up files that cannot be read, as malformed rows with the columns of ``like``, so that they reach quarantine too."""
+    broken = [
+        bronze.where(F.col("source_object") == kind).where(F.from_json("raw_payload", schemas.array_of(fields)).isNull())
+        for kind, fields in (("matches", schemas.MATCH), ("lineups", schemas.LINEUP))
+    ]
+    rows = broken[0].unionByName(broken[1])
+    own = {"ordinal": F.lit(0), "malformed": F.lit(True), "event_payload_hash": F.sha2(F.coalesce("raw_payload", F.lit("")), 256), "match_id": F.expr("try_cast(source_match_id AS BIGINT)")}
+    held = {f.name: own[f.name] if f.name in own else F.col(f.name) if f.name in rows.columns else F.lit(None) for f in like.schema}
+    return rows.select(*(held[f.name].cast(f.dataType).alias(f.name) for f in like.schema))
+
+
 def teams(matches: DataFrame) -> DataFrame:
     """Both sides of each match in one scan; of several names the greatest stands."""
     side = lambda s: f"struct({s}_team_id AS team_id, {s}_team_name AS team_name, {s}_team_country AS country, pipeline_run_id)"

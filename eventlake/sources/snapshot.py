@@ -20,6 +20,7 @@ from eventlake.functions.identity import canonical_json
 
 SHA = re.compile(r"[0-9a-f]{40}")
 RECORD = "source string, source_object string, source_uri string, source_commit_sha string, source_record_locator string, source_timestamp string, source_match_id string, variant_type string, raw_payload string"
+RECORD_FIELDS = tuple(part.split()[0] for part in RECORD.split(", "))
 
 
 @dataclass(frozen=True)
@@ -52,24 +53,32 @@ def fetch_json(url: str) -> object:
         return json.load(response)
 
 
-def fetch_records(m: Manifest, fetch: Callable[[str], object] = fetch_json, match_limit: int | None = None) -> Iterator[dict]:
-    """Records one at a time: competitions, matches, then lineups and events of each match."""
+def file_record(m: Manifest, kind: str, path: str, payload: object, match: dict | None = None) -> dict:
+    """One file as a record; ``match``: the entry of the match that a line-up or event file belongs to."""
+    return {
+        "source": m.source, "source_object": kind, "source_uri": m.url(path), "source_commit_sha": m.commit_sha, "source_record_locator": path,
+        "source_timestamp": match and match.get("last_updated"), "source_match_id": match and str(match["match_id"]), "variant_type": None, "raw_payload": canonical_json(payload),
+    }
+
+
+def match_files(match: dict) -> list[tuple[str, str]]:
+    return [(kind, f"{kind}/{match['match_id']}.json") for kind in ("lineups", "events")]
 
-    def record(kind: str, path: str, payload: object, match: dict | None = None) -> dict:
-        return {
-            "source": m.source, "source_object": kind, "source_uri": m.url(path), "source_commit_sha": m.commit_sha, "source_record_locator": path,
-            "source_timestamp": match and match.get("last_updated"), "source_match_id": match and str(match["match_id"]), "variant_type": None, "raw_payload": canonical_json(payload),
-        }
 
-    yield record("competitions", "competitions.json", fetch(m.url("competitions.json")))
+def fetch_records(m: Manifest, fetch: Callable[[str], object] = fetch_json, match_limit: int | None = None) -> Iterator[dict]:
+    """Records one at a time: competitions, matches, then lineups and events of each match."""
+    yield file_record(m, "competitions", "competitions.json", fetch(m.url("competitions.json")))
     path = f"matches/{m.competition_id}/{m.season_id}.json"
-    matches = fetch(m.url(path))
-    matches = matches[: match_limit or None]
-    yield record("matches", path, matches)
+    matches = fetch(m.url(path))[: match_limit or None]
+    yield file_record(m, "matches", path, matches)
     for match in matches:
-        for kind in ("lineups", "events"):
-            path = f"{kind}/{match['match_id']}.json"
-            yield record(kind, path, fetch(m.url(path)), match)
+        for kind, path in match_files(match):
+            yield file_record(m, kind, path, fetch(m.url(path)), match)
+
+
+def snapshot_records(m: Manifest, fetch: Callable[[str], object] = fetch_json, match_limit: int | None = None) -> list[dict]:
+    """The same as a list, for small snapshots and tests."""
+    return list(fetch_records(m, fetch, match_limit))
 
 
 def chunks(records: Iterator[dict], size: int = 25) -> Iterator[list[dict]]:

@@ -6,6 +6,8 @@ Late rows must be flagged against the kept watermark and duplicates judged again
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -23,7 +25,9 @@ def start(lake: engine.Lake, records: DataFrame, checkpoint: str, **gate) -> Str
     def batch(rows: DataFrame, number: int) -> None:
         if rows.isEmpty():
             return
-        run_id = f"stream-{number}"
+        # The checkpoint keeps the query's id: a repeated batch has the same run id, a new checkpoint another one.
+        query_id = json.loads(rows.sparkSession.read.text(f"{checkpoint.rstrip('/')}/metadata", wholetext=True).first()[0])["id"]
+        run_id = f"stream-{query_id}-{number}"
         session_lake = engine.Lake(rows.sparkSession, lake.root, lake.source)
         engine.run_daily(session_lake, rows, run_id, **gate)
 
