@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventlake.llm.rows import materialize
+from eventlake.llm.rows import materialize, release
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -35,7 +35,8 @@ def components(edges: DataFrame) -> DataFrame:
     links = materialize(links, "links")
     seen = _print(links)
     while seen[0]:
-        links = materialize(_star(_star(links, large=True), large=False), "links")
+        before, links = links, materialize(_star(_star(links, large=True), large=False), "links")
+        release(before)
         now = _print(links)
         if now == seen:
             break

@@ -96,7 +96,7 @@ URL_RULES = [
     ("block", "net", "/fr/"),
 ]
 #: Hosts whose names have one of these words are on the list of hosts to block.
-LISTED_WORDS = ("spam", "ads", "track", "casino", "malware", "phish")
+LISTED_WORDS = ("spam", "ads", "track", "casino", "malware", "phish", "pills", "adult", "bets")
 
 
 def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:

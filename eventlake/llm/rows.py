@@ -6,9 +6,13 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from eventlake.sources.staging import materialize, release, remove_folder, shared_folder
+
+__all__ = ["SLICE_BYTES", "map_texts", "materialize", "release", "remove_folder", "shared_folder", "slices"]
+
 #: Bytes of text that a Python worker turns into objects at once.
 SLICE_BYTES = 4 << 20
 
@@ -48,32 +52,3 @@ def map_texts(df: DataFrame, keys: list[str], text: str, schema: str, work: Call
 
     schema_names = StructType.fromDDL(schema).fieldNames()
     return narrow.mapInArrow(run, schema)
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``; where that is unset (tests), a local one is set."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = getattr(spark, "_eventlake_shared", None)
-        if base is None:
-            base = spark._eventlake_shared = "file://" + tempfile.mkdtemp(prefix="eventlake-")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it again: lineage ends in files all executors see."""
-    spark = df.sparkSession
-    path = shared_folder(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def remove_folder(spark: SparkSession, path: str) -> None:
-    """Deletes a folder that this run made below the shared one."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)

@@ -4,10 +4,11 @@ Level 0 encodes the listed keys, level 1 those unlisted keys of the corpus that
 level 0 lets through, level 2 the listed keys that level 1 lets through, and so on until no
 key is wrongly let through.  A key's answer is the parity of the first level that rejects it, and since all
 keys of the corpus took part, the answer is exact for each of them.  The
-levels are bit arrays that travel as scalar subqueries, so probing is an expression: no join, no shuffle of the pages.
+levels are bit arrays that travel as scalar subqueries, so probing is an expression: no join, no shuffle of the pages, in building as in judging.
 
-Size: level 0 has 12 bits a listed key and later levels a few per cent of that.  ``max_bits`` bounds a level (checked by the
-counts before it is built); a longer list uses a shuffled semi join instead.
+Size: level 0 has 12 bits a listed key and later levels a few per cent of that.  Keys are dealt by hash into
+chunks, each with a cascade of its own, so that no bit array passes ``max_bits`` however long the list is; an
+expression holds the arrays of ``PASS_CHUNKS`` chunks, and a list with more of them is probed in several passes over the urls.
 
 Contract: rows are kept as they are, repeated ones too.  Null urls and urls without ``://`` have host and path ""
 and match no rule.  Null listed keys are ignored; an empty list or table needs no level.
@@ -21,11 +22,12 @@ import operator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventlake.llm.rows import materialize
+from eventlake.llm.rows import materialize, release
 
 BITS_PER_KEY = 12
 HASHES = 6
-MAX_BITS = 1 << 28
+MAX_BITS = 1 << 26
+PASS_CHUNKS = 16
 
 
 def lower_ascii(text: Column) -> Column:
@@ -65,38 +67,64 @@ def passes(key: Column, words: Column, bits: int, level: int) -> Column:
 
 
 class Cascade:
-    """Levels of (bits, one-row frame with the words)."""
-
-    def __init__(self) -> None:
-        self.levels: list[tuple[int, DataFrame]] = []
-
-    def contains(self, key: Column) -> Column:
-        """Whether a key of the universe is listed: a nested CASE over the levels."""
-        answer = F.lit(len(self.levels) % 2 == 1)
-        for level in range(len(self.levels) - 1, -1, -1):
-            bits, words = self.levels[level]
-            answer = F.when(passes(key, words.scalar(), bits, level), answer).otherwise(F.lit(level % 2 == 1))
+    """Chunks of levels of (bits, one-row frame with the words)."""
+
+    def __init__(self, chunks: list[list[tuple[int, DataFrame]]]) -> None:
+        self.chunks = chunks
+
+    def chunk(self, key: Column) -> Column:
+        return chunk_of(key, len(self.chunks))
+
+    def passes(self) -> list[range]:
+        """The chunks of each pass over the keys to be judged."""
+        return [range(a, min(a + PASS_CHUNKS, len(self.chunks))) for a in range(0, len(self.chunks), PASS_CHUNKS)]
+
+    def contains(self, key: Column, chunks: range | None = None) -> Column:
+        """Whether a key of the universe, of one of ``chunks``, is listed: a nested CASE over the levels."""
+        answer = F.lit(False)
+        for i in reversed(range(len(self.chunks)) if chunks is None else chunks):
+            one, levels = F.lit(len(self.chunks[i]) % 2 == 1), self.chunks[i]
+            for level in range(len(levels) - 1, -1, -1):
+                bits, words = levels[level]
+                one = F.when(passes(key, words.scalar(), bits, level), one).otherwise(F.lit(level % 2 == 1))
+            answer = one if len(self.chunks) == 1 else F.when(self.chunk(key) == i, one).otherwise(answer)
         return answer
 
 
-def build_cascade(universe: DataFrame, listed: DataFrame, bits_per_key: int = BITS_PER_KEY, max_bits: int = MAX_BITS) -> Cascade | None:
-    """``universe`` and ``listed``: distinct keys in a column ``key``.  None where a level would pass ``max_bits``."""
-    universe = materialize(universe.join(listed.withColumn("listed", F.lit(True)), "key", "left").select("key", F.coalesce("listed", F.lit(False)).alias("listed")), "url-keys")
-    cascade = Cascade()
-    wrong = universe
+def chunk_of(key: Column, chunks: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit("chunk"), key), F.lit(chunks)).cast("int")
+
+
+def build_cascade(universe: DataFrame, listed: DataFrame, bits_per_key: int = BITS_PER_KEY, max_bits: int = MAX_BITS) -> Cascade:
+    """``universe`` and ``listed``: keys in a column ``key``, repeated or not.  Listed keys outside the universe take no part."""
+    both = universe.select("key", F.lit(False).alias("listed"), F.lit(True).alias("here")).unionByName(listed.select("key", F.lit(True).alias("listed"), F.lit(False).alias("here")))
+    keys = materialize(both.groupBy("key").agg(F.max("listed").alias("listed"), F.max("here").alias("here")).where("here").select("key", "listed"), "url-keys")
+    count = keys.where("listed").count()
+    if not count:
+        release(keys)
+        return Cascade([])
+    # Chunks are filled by hash: an eighth of room covers their spread.
+    chunks = max(1, -(-count * bits_per_key * 9 // (8 * max_bits)))
+    wrong = materialize(keys.withColumn("chunk", chunk_of(F.col("key"), chunks)), "url-wrong")
+    release(keys)
+    cascade: list[list[tuple[int, DataFrame]]] = [[] for _ in range(chunks)]
+    level = 0
     while True:
-        level = len(cascade.levels)
+        # Keys of the other side that a level lets through are encoded by the next one; its own side stays in play.
         encoded = wrong.where(F.col("listed") == F.lit(level % 2 == 0))
-        count = encoded.count()
-        if not count:
-            return cascade
-        bits = max(64, count * bits_per_key)
-        if bits > max_bits:
-            return None
-        words = materialize(bit_array(encoded.select("key"), bits, level), "url-level")
-        cascade.levels.append((bits, words))
-        # Keys of the other side that this level lets through are encoded by the next one; its own side stays in play.
-        wrong = materialize(wrong.where(passes(F.col("key"), words.scalar(), bits, level)), "url-wrong")
+        sizes = {r.chunk: r["count"] for r in encoded.groupBy("chunk").count().collect()}  # one row for each chunk
+        if not sizes:
+            release(wrong)
+            return Cascade(cascade)
+        kept = []
+        for i, size in sorted(sizes.items()):
+            bits = max(64, size * bits_per_key)
+            words = materialize(bit_array(encoded.where(F.col("chunk") == i).select("key"), bits, level), "url-level")
+            cascade[i].append((bits, words))
+            kept.append(wrong.where((F.col("chunk") == i) & passes(F.col("key"), words.scalar(), bits, level)))
+        before, wrong = wrong, materialize(functools.reduce(DataFrame.unionByName, kept), "url-wrong")
+        release(before)
+        level += 1
 
 
 def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tuple[Column, Column]:
@@ -113,13 +141,14 @@ def judge_urls(df: DataFrame, id_col: str, url_col: str, rules: list[tuple[str,
     """id, host, path, rule, verdict, listed.  ``listed``: hosts to block, in its first column; rules overrule the list."""
     host, path = split_url(F.col(f"`{url_col}`").cast("string"))
     parsed = df.select(F.col(f"`{id_col}`"), host.alias("host"), path.alias("path"))
-    keys = listed.select(F.col(f"`{listed.columns[0]}`").alias("key")).where(F.col("key").isNotNull() & (F.col("key") != "")).distinct()
-    universe = parsed.select(F.col("host").alias("key")).where("key <> ''").distinct()
-    cascade = build_cascade(universe, keys, bits_per_key, max_bits)
-    if cascade is None:
-        marked = parsed.join(keys.select(F.col("key").alias("host"), F.lit(True).alias("hit")), "host", "left").withColumn("listed", F.coalesce("hit", F.lit(False)))
+    keys = listed.select(F.col(f"`{listed.columns[0]}`").cast("string").alias("key")).where("key <> ''")
+    cascade = build_cascade(parsed.select(F.col("host").alias("key")).where("key <> ''").distinct(), keys, bits_per_key, max_bits)
+    if len(cascade.passes()) < 2:
+        marked = parsed.withColumn("listed", (F.col("host") != "") & cascade.contains(F.col("host")))
     else:
-        marked = parsed.withColumn("listed", F.when(F.col("host") == "", F.lit(False)).otherwise(cascade.contains(F.col("host"))))
+        of = cascade.chunk(F.col("host"))
+        parts = [parsed.where((of >= some.start) & (of < some.stop)).withColumn("listed", (F.col("host") != "") & cascade.contains(F.col("host"), some)) for some in cascade.passes()]
+        marked = functools.reduce(DataFrame.unionByName, parts)
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
     judged = F.coalesce(verdict, F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow")))
     return marked.select(F.col(f"`{id_col}`"), "host", "path", name.alias("rule"), judged.alias("verdict"), "listed")

@@ -21,7 +21,7 @@ def brute(url, listed):
     return host, path, rule, verdict or ("block" if host in listed else "allow"), host in listed
 
 
-def test_against_brute(spark):
+def test_against_brute(spark, monkeypatch):
     rng = random.Random(3)
     parts = ["com", "net", "example.com", "www.example.com", "a.example.net", "org", "É.Org", "xcom"]
     urls = [None, "", "no scheme", "://", "http://", "x://com", "http://NET/es/1", "http://a.com?x=://y/", "http://b.net/es", "h://net\n/es/"]
@@ -30,8 +30,11 @@ def test_against_brute(spark):
     listed = set(rng.sample(hosts, 150)) - {""}
     df = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls + urls[:20])], "id long, url string, host string")
     keys = spark.createDataFrame([(h,) for h in [*listed, None, "", "not.in.corpus"]], "k string")
-    for bits, limit in ((12, 1 << 28), (2, 1 << 28), (12, 64)):
-        got = url_filter.judge_urls(df, "id", "url", RULES, keys, bits, limit).collect()
+    for bits, limit, together in ((12, 1 << 28, 16), (2, 1 << 28, 16), (12, 512, 2)):
+        monkeypatch.setattr(url_filter, "PASS_CHUNKS", together)
+        plan = url_filter.judge_urls(df, "id", "url", RULES, keys, bits, limit)
+        assert not re.search("Python|Pandas|Arrow|Join", plan._jdf.queryExecution().toString())
+        got = plan.collect()
         assert len(got) == len(urls) + 20
         for r in got:
             assert tuple(r)[1:] == brute((urls + urls[:20])[r.id], listed)
