@@ -1,8 +1,8 @@
 """Token counts by a trie-shared unigram forward pass (operator 3).
 
-A task cuts texts at white space, inserts the pre-tokens it has not met in a trie, and computes for every trie node
-the best unigram segmentation of the prefix that ends there: once for each shared prefix, not once for each word.  The
-counts at terminal nodes are kept in a bounded table; a document's count is the sum over its pre-tokens.
+A worker cuts texts at white space, inserts the pre-tokens it has not met in its trie, and computes for every new trie node
+the best unigram segmentation of the prefix that ends there: once for each shared prefix, not once for each word.  The trie lives as long as the
+worker and is planted anew at ``TRIE_NODES``.  The counts at terminal nodes are kept in a bounded table; a document's count is the sum over its pre-tokens.
 
 The pieces and their order come from a public SentencePiece file.  That file's scores are merge
 ranks, so the unigram log probabilities are Zipf-Mandelbrot's law over the ranks (``SHIFT``), a parameter and not a
@@ -28,6 +28,7 @@ SHIFT = 2.7
 BYTE_PENALTY = 4.0
 CACHED = 400_000
 CACHED_CHARS = 64
+TRIE_NODES = 500_000
 #: Fixed value: SentencePiece's mark for the start of a word.
 MARK = "▁"
 
@@ -39,7 +40,16 @@ class Unigram:
         self.pieces, self.byte_cost = pieces, byte_cost
         self.longest = max(map(len, pieces), default=1)
         self.known: dict[str, tuple[int, int, float]] = {}
-        self.nodes = 0
+        self._plant()
+
+    def _plant(self) -> None:
+        """An empty trie.  ``child``: (node, character) packed in one integer -> node; of each node: the score, tokens and byte tokens of its prefix."""
+        self.child: dict[int, int] = {}
+        self.scores, self.tokens, self.raw = [0.0], [0], [0]
+
+    @property
+    def nodes(self) -> int:
+        return len(self.scores)
 
     @classmethod
     def from_file(cls, path: str) -> Unigram:
@@ -52,40 +62,44 @@ class Unigram:
         return cls(pieces, min(pieces.values()) - BYTE_PENALTY)
 
     def learn(self, words: list[str]) -> dict[str, tuple[int, int, float]]:
-        """Tokens, byte tokens and score of each word, over one trie of all of them."""
-        pieces, longest, byte_cost = self.pieces, self.longest, self.byte_cost
-        child: dict[tuple[int, str], int] = {}
-        # Of each node: forward score, minus its tokens (so that greater is better), byte tokens.
-        state: list[tuple[float, int, int]] = [(0.0, 0, 0)]
-        out = {}
-        for word in words:
-            text = MARK + word
-            node, way = 0, [0]
-            for end, char in enumerate(text, 1):
-                nxt = child.get((node, char))
-                if nxt is None:
-                    nxt = child[node, char] = len(state)
-                    best = None
-                    for start in range(max(0, end - longest), end):
-                        score = pieces.get(text[start:end])
-                        if score is not None:
-                            before = state[way[start]]
-                            new = (before[0] + score, before[1] - 1, before[2])
-                            if best is None or new[:2] > best[:2]:
-                                best = new
-                    if char not in pieces:
-                        size = len(char.encode("utf-8", "surrogatepass"))
-                        before = state[way[end - 1]]
-                        new = (before[0] + size * byte_cost, before[1] - size, before[2] + size)
-                        if best is None or new[:2] > best[:2]:
-                            best = new
-                    state.append(best)
-                node = nxt
-                way.append(node)
-            score, tokens, raw = state[node]
-            out[word] = (-tokens, raw, score)
-        self.nodes = len(state)
-        return out
+        """Tokens, byte tokens and score of each word."""
+        if len(self.scores) > TRIE_NODES:
+            self._plant()
+        return {word: self._insert(word) for word in words}
+
+    def _insert(self, word: str) -> tuple[int, int, float]:
+        child, scores, tokens, raw = self.child, self.scores, self.tokens, self.raw
+        text, node, way = MARK + word, 0, [0]
+        for end, char in enumerate(text, 1):
+            key = node << 21 | ord(char)
+            node = child.get(key, 0)
+            if not node:
+                node = child[key] = len(scores)
+                score, count, odd = self._forward(text, end, way)
+                scores.append(score)
+                tokens.append(count)
+                raw.append(odd)
+            way.append(node)
+        return tokens[node], raw[node], scores[node]
+
+    def _forward(self, text: str, end: int, way: list[int]) -> tuple[float, int, int]:
+        """Best score, its tokens and byte tokens of ``text[:end]``, from the nodes on the way."""
+        get, scores, tokens, raw = self.pieces.get, self.scores, self.tokens, self.raw
+        best = count = odd = None
+        for start in range(max(0, end - self.longest), end):
+            piece = get(text[start:end])
+            if piece is not None:
+                at = way[start]
+                score = scores[at] + piece
+                if best is None or score > best or (score == best and tokens[at] + 1 < count):
+                    best, count, odd = score, tokens[at] + 1, raw[at]
+        char = text[end - 1]
+        if char not in self.pieces:
+            at, size = way[end - 1], len(char.encode("utf-8", "surrogatepass"))
+            score = scores[at] + size * self.byte_cost
+            if best is None or score > best or (score == best and tokens[at] + size < count):
+                best, count, odd = score, tokens[at] + size, raw[at] + size
+        return best, count, odd
 
     def count(self, texts: list[str]) -> list[tuple[int, int, int, float]]:
         """Pre-tokens, tokens, byte tokens and log probability of each text."""

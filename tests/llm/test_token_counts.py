@@ -38,6 +38,15 @@ def test_small_trie_shares_prefixes():
     assert model.nodes == 1 + 3 + 2
 
 
+def test_trie_lives_on_and_is_replanted(monkeypatch):
+    model = token_counts.Unigram({"▁": -1.0, "▁a": -1.0, "a": -1.0, "b": -2.0, "ab": -2.5}, -10.0)
+    first = model.learn(["ab", "abb"])
+    nodes = model.nodes
+    assert model.learn(["abba"]) == {"abba": (4, 0, -6.0)} and model.nodes == nodes + 1
+    monkeypatch.setattr(token_counts, "TRIE_NODES", 2)
+    assert model.learn(["ab", "abb"]) == first and model.nodes == nodes
+
+
 def test_rows(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(token_counts, "CACHED", 50)
     rows = [(1, "a b"), (1, "a b"), (None, None), (2, ""), (3, "x" * 5000 + " y"), (4, "many words " * 9000)]
