@@ -8,9 +8,14 @@ verified with Myers' bit-parallel distance, the item's bits in one integer.
 Normalization: words (letters, digits and ``_`` of Unicode, lower-cased) joined and bounded by one space, so an item
 of a few characters only matches whole words.
 
-Contract: benchmark items are a stated query set; they go to the tasks in blocks of ``BLOCK_CHARS``, each block over all
-documents.  Items that are null or without words match nothing; repeated items are reported one by one.  A null text is "".  Each
+Benchmark items are a stated query set.  They are normalized by Spark into a table of blocks in the shared folder, of about ``BLOCK_CHARS``
+characters each by hash; a worker reads a block's file and keeps its automaton.  No item passes through the driver or a closure, and a task holds one block,
+however long the benchmark is.  Each block is met by all documents: one pass over their texts for one block, and where there are more, over
+texts that were normalized once and written down.
+
+Contract: items that are null or without words match nothing; repeated items are reported one by one.  A null text is "".  Each
 row of the documents is searched whole, repeated rows too; other columns are not read by ``find_leaks`` and kept by ``drop_leaks``.
+Of an item's matches in a text the one with the least distance is reported, of equal ones the one that ends first, from its shortest start.
 """
 
 from __future__ import annotations
@@ -22,8 +27,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from eventlake.llm.rows import map_texts, slices
+from eventlake.llm.rows import map_texts, materialize, release, shared_folder, slices
 
 RATE = 0.05
 BLOCK_CHARS = 4 << 20
@@ -90,9 +96,8 @@ class Block:
             self.automaton.make_automaton()
         self.empty = not places
 
-    def search(self, raw: str) -> list[tuple[object, int, int, int]]:
-        """Item, distance, start and end in the normalized text, for each item that leaks."""
-        text = normalize(raw)
+    def search(self, text: str) -> list[tuple[object, int, int, int]]:
+        """Item, distance, start and end in a normalized text, for each item that leaks."""
         if not text or self.empty:
             return []
         windows: dict[int, list[list[int]]] = {}
@@ -124,66 +129,108 @@ class Block:
         return out
 
 
+class ItemBlocks:
+    """The query set as a table of blocks: item, text (normalized), block; ``count`` blocks in ``folder``."""
+
+    def __init__(self, items: DataFrame, id_col: str, text_col: str, block_chars: int):
+        kind = dict(items.dtypes)[id_col]
+
+        def work():
+            def step(keys, texts):
+                return [keys[0], pa.array([normalize(t) for t in texts], pa.string())]
+
+            return step
+
+        plain = materialize(map_texts(items, [id_col], text_col, f"item {kind}, text string", work).where("text <> ''"), "benchmark-items")
+        chars = plain.agg(F.sum(F.length("text"))).first()[0] or 0
+        self.count = -(-chars // block_chars)
+        self.folder = shared_folder(items.sparkSession, "benchmark-blocks")
+        if self.count:
+            plain.withColumn("block", F.pmod(F.xxhash64("text"), F.lit(self.count))).repartition(self.count, "block").write.partitionBy("block").parquet(self.folder)
+        release(plain)
+
+
 @functools.lru_cache(maxsize=4)
-def _block(items: tuple, rate: float) -> Block:
-    return Block(list(items), rate)
-
-
-def item_blocks(items: DataFrame, id_col: str, text_col: str) -> list[tuple]:
-    """The query set in blocks of bounded size, normalized."""
-    blocks: list[list] = [[]]
-    size = 0
-    for key, text in items.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string")).orderBy(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).toLocalIterator():
-        text = normalize(text)
-        if text:
-            if size + len(text) > BLOCK_CHARS and blocks[-1]:
-                blocks.append([])
-                size = 0
-            blocks[-1].append((key, text))
-            size += len(text)
-    return [tuple(b) for b in blocks if b]
-
-
-def find_leaks(df: DataFrame, id_col: str, text_col: str, items: DataFrame, item_col: str, item_text: str, rate: float = RATE) -> DataFrame:
+def _block(folder: str, block: int, rate: float) -> Block:
+    """A worker's automaton of one block, read from the shared folder."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    system, root = fs.FileSystem.from_uri(folder)
+    found = system.get_file_info(fs.FileSelector(f"{root}/block={block}", allow_not_found=True))
+    tables = [pq.ParquetFile(system.open_input_file(f.path)).read() for f in found if f.path.endswith(".parquet")]
+    rows = sorted(((r["item"], r["text"]) for t in tables for r in t.to_pylist()), key=repr)
+    return Block(rows, rate)
+
+
+def _prepared(df: DataFrame, text_col: str, blocks: ItemBlocks) -> tuple[DataFrame, bool]:
+    """The rows, with ``text_col`` normalized and written down where several blocks will read it."""
+    if blocks.count < 2:
+        return df, False
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index(text_col)
+            for few in slices(batch, text_col):
+                yield few.set_column(at, text_col, pa.array([normalize(t) for t in few.column(at).to_pylist()], few.schema.field(at).type))
+
+    return materialize(df.mapInArrow(run, df.schema), "normalized-texts"), True
+
+
+def find_leaks(df: DataFrame, id_col: str, text_col: str, items: DataFrame, item_col: str, item_text: str, rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row for each document row and item that it holds: id, item, distance, start, end (of the normalized text)."""
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import _parse_datatype_string
+
     kinds = dict(df.dtypes)[id_col], dict(items.dtypes)[item_col]
-    schema = f"k0 {kinds[0]}, hits array<struct<item:{kinds[1]},distance:int,start:long,end:long>>"
-    hit = "array<struct<item:" + kinds[1] + ",distance:int,start:long,end:long>>"
+    hit = f"array<struct<item:{kinds[1]},distance:int,start:long,end:long>>"
+    arrow_hits = to_arrow_type(_parse_datatype_string(hit))
+    blocks = ItemBlocks(items, item_col, item_text, block_chars)
+    narrow = df.select(F.col(f"`{id_col}`").alias("k"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    texts, ready = _prepared(narrow, "text", blocks)
+    folder = blocks.folder
 
-    def one(block: tuple) -> DataFrame:
+    def one(block: int) -> DataFrame:
         def work():
-            found = _block(block, rate)
+            found = _block(folder, block, rate)
 
             def step(keys, texts):
-                hits = [[dict(zip(("item", "distance", "start", "end"), h)) for h in found.search(t)] for t in texts]
+                hits = [[dict(zip(("item", "distance", "start", "end"), h)) for h in found.search(t if ready else normalize(t))] for t in texts]
                 rows = [i for i, h in enumerate(hits) if h]
                 return [keys[0].take(pa.array(rows, pa.int64())), pa.array([hits[i] for i in rows], arrow_hits)]
 
             return step
 
-        return map_texts(df, [id_col], text_col, schema, work)
-
-    from pyspark.sql.pandas.types import to_arrow_type
-    from pyspark.sql.types import _parse_datatype_string
+        return map_texts(texts, ["k"], "text", f"k0 {kinds[0]}, hits {hit}", work)
 
-    arrow_hits = to_arrow_type(_parse_datatype_string(hit))
-    parts = [one(b) for b in item_blocks(items, item_col, item_text)]
-    if not parts:
+    if not blocks.count:
         return df.sparkSession.createDataFrame([], f"`{id_col}` {kinds[0]}, `{item_col}` {kinds[1]}, distance int, start long, end long")
-    whole = functools.reduce(DataFrame.unionByName, parts).select(F.col("k0").alias(id_col), F.inline("hits"))
+    whole = functools.reduce(DataFrame.unionByName, map(one, range(blocks.count))).select(F.col("k0").alias(id_col), F.inline("hits"))
     return whole.withColumnRenamed("item", item_col)
 
 
-def drop_leaks(df: DataFrame, text_col: str, items: DataFrame, item_col: str, item_text: str, rate: float = RATE) -> DataFrame:
-    """The rows that hold no item, with all their columns."""
+def drop_leaks(df: DataFrame, text_col: str, items: DataFrame, item_col: str, item_text: str, rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows that hold no item, with all their columns.  Each block reads what the one before it kept."""
+    blocks = ItemBlocks(items, item_col, item_text, block_chars)
+    folder, several = blocks.folder, blocks.count > 1
+    plain = "".join(df.columns) + "_plain"
+
+    def normalized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for few in slices(batch, text_col):
+                yield few.append_column(plain, pa.array([normalize(t) for t in few.column(text_col).to_pylist()], pa.string()))
 
-    def one(kept: DataFrame, block: tuple) -> DataFrame:
+    def without(kept: DataFrame, block: int) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            found = _block(block, rate)
+            found = _block(folder, block, rate)
             for batch in batches:
-                for few in slices(batch, text_col):
-                    yield few.filter(pa.array([not found.search(t or "") for t in few.column(text_col).to_pylist()], pa.bool_()))
+                for few in slices(batch, plain if several else text_col):
+                    texts = few.column(plain).to_pylist() if several else map(normalize, few.column(text_col).to_pylist())
+                    yield few.filter(pa.array([not found.search(t) for t in texts], pa.bool_()))
 
         return kept.mapInArrow(run, kept.schema)
 
-    return functools.reduce(one, item_blocks(items, item_col, item_text), df)
+    if several:
+        df = df.mapInArrow(normalized, StructType([*df.schema, StructField(plain, StringType())]))
+    kept = functools.reduce(without, range(blocks.count), df)
+    return kept.drop(plain) if several else kept
