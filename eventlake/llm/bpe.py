@@ -5,6 +5,9 @@ pairs keeps the minimum at its root; ties go left, so the root is the leftmost
 pair of lowest rank.  A merge changes two or three leaves, each in logarithmic time, and
 the loop ends when the root holds no rank.
 
+Normalization and pre-tokens follow the tokenizer file.  Where Python's Unicode tables might be of another version than the
+tokenizers library's, they come from the library's own normalizer and pre-tokenizer; the merges are made here in any case.
+
 Contract: a null text is encoded as "", which has no ids and decodes to "".
 Every row of the input gives one row, repeated rows and repeated or null ids
 included; other columns are not read, so their names cannot clash.  Texts of
@@ -32,6 +35,8 @@ CACHED_CHARS = 64
 #: The tokenizer file's own white space, and the byte alphabet of byte-level BPE.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"  # as a character class
 PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+#: Characters that every Unicode version treats alike, none of them combining; chunks of these only are normalized and cut here, others by the library.
+PLAIN = "\x00-\u024f\u0386-\u038a\u038c\u038e-\u03a1\u03a3-\u03ce\u0400-\u045f\u2010-\u2027\u2030-\u205e\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3"
 #: str.split() also cuts at these, which the tokenizer does not count as white space.
 NOT_SPACE = "\x1c\x1d\x1e\x1f"
 
@@ -102,8 +107,12 @@ class WordBpe:
     """Encoder and decoder of a BPE file whose pre-tokens end in a suffix."""
 
     def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
+        self.library = Tokenizer.from_file(path)
+        self.checked = regex.compile(f"[{PLAIN}]*")
         model = file["model"]
         vocab: dict[str, int] = model["vocab"]
         suffix = model["end_of_word_suffix"] or ""
@@ -111,6 +120,7 @@ class WordBpe:
         for rank, (a, b) in enumerate(model["merges"]):
             self.pairs.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
         alphabet = byte_alphabet()
+        self.byte_of = {c: b for b, c in alphabet.items()}
         self.inner = {b: vocab[c] for b, c in alphabet.items()}
         self.last = {b: vocab[c + suffix] for b, c in alphabet.items()}
         self.added = {t["content"]: t["id"] for t in file["added_tokens"]}
@@ -122,22 +132,28 @@ class WordBpe:
             self.strings[i] = token
         self.cut = regex.compile(f"[^{SPACE}]+")
         self.chunks: dict[str, bytes] = {}
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[bytes, list[int]] = {}
 
-    def word(self, text: str) -> list[int]:
+    def word(self, raw: bytes) -> list[int]:
         """Ids of one pre-token."""
-        raw = text.encode()
         symbols = [self.inner[b] for b in raw]
         symbols[-1] = self.last[raw[-1]]
         return merge_symbols(symbols, self.pairs)
 
-    def plain(self, text: str) -> list[int]:
-        """Ids of a text without added tokens."""
+    def words_of(self, text: str) -> list[bytes]:
+        """Pre-tokens of a text without added tokens, as UTF-8."""
+        if self.checked.fullmatch(text) is None:
+            cut = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+            return [bytes(map(self.byte_of.__getitem__, piece)) for piece, _ in cut]
         text = unicodedata.normalize("NFC", text)
         # The tokenizer lowers one character at a time, so a final sigma is not a case of its own.
         text = text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
+        return [w.encode() for w in self.words.findall(text)]
+
+    def plain(self, text: str) -> list[int]:
+        """Ids of a text without added tokens."""
         ids: list[int] = []
-        for word in self.words.findall(text):
+        for word in self.words_of(text):
             got = self.known.get(word)
             if got is None:
                 got = self.word(word)

@@ -1,10 +1,11 @@
 import hashlib
 import random
+import unicodedata
 
 import pytest
 from tokenizers import Tokenizer
 
-from eventlake.llm import bpe
+from eventlake.llm import bpe, queries
 
 PATH = "/opt/tokenizers/word_bpe_49k.json"
 ODD = ["", " ", "a", "It's o'clock, WE'LL 'same", "don't x\x1cy\x1d z", "<|endoftext|>Hi<|startoftext|>", "é ΣΣ ΑΣ İi", "日本語 テスト 123 ½²", "a" * 3000, "🙂🙂!!??", "x<|endoftext|", "\x00\x01  wide"]
@@ -57,3 +58,26 @@ def test_rows(spark, library):
         assert (row.n_tokens, row.ids_sha256) == (len(ids), sha(" ".join(map(str, ids))))
         assert row.decoded_sha256 == sha(library.decode(ids, skip_special_tokens=False))
     assert bpe.bpe_encode(df.limit(0), "doc_id", "text", PATH).count() == 0
+
+
+def test_every_code_point(library):
+    """Alone, after a letter and inside a word; and pairs of marks, which normalization reorders and joins."""
+    own = bpe.WordBpe(PATH)
+    points = [chr(c) for c in range(0x20000) if not 0xD800 <= c < 0xE000]
+    marks = [c for c in points if unicodedata.combining(c)]
+    rng = random.Random(1)
+    pairs = [rng.choice("aEο") + rng.choice(marks) + rng.choice(marks) for _ in range(20_000)]
+    for text in [*points, *("a" + c for c in points), *("É" + c + "Bc" for c in points), *pairs]:
+        assert own.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
+@pytest.mark.parametrize("folder", ["/root/testdata/sf0.01"])
+def test_query(spark, library, folder):
+    """Every document against the library."""
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    got = queries.op7_bpe(spark, folder).collect()
+    assert len(got) == len(texts)
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    for row in got:
+        ids = library.encode(texts[row.doc_id], add_special_tokens=False).ids
+        assert (row.n_tokens, row.ids_sha256, row.decoded_sha256) == (len(ids), sha(" ".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False)))
