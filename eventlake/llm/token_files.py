@@ -8,11 +8,12 @@ header keeps each block's place and the ones before it, so ``access``,
 undoes the partings to give the whole sequence.
 
 Contract: documents are written in ascending id order (null ids first; rows with one id by
-text), a null text as "", and the end id closes every document, empty ones too.  Every row of the
+the hash of their text), a null text as "", and the end id closes every document, empty ones too.  Every row of the
 input is one document of the files, repeated rows included.  An empty table gives no file and no rows.
 A writer holds ``SHARD_TOKENS`` ids (or one longer document) at once and closes a file there,
 whatever the size of its partition.  A file appears under its final name
-only when it is complete, and a repeated task writes the same files again.
+only when it is complete, and a repeated task writes the same files again, as long as its input is read in the same
+order again (files are; materialize a table whose rows may change their order).
 """
 
 from __future__ import annotations
@@ -38,6 +39,7 @@ SHARD_TOKENS = 4 << 20
 #: Text bytes that one range partition gets on average.
 PARTITION_BYTES = 24 << 20
 READ_TOKENS = 1 << 20
+GROUP_PARTS = 4096
 CACHED_CHUNKS = 700_000
 CACHED_CHARS = 64
 #: The white space that byte-level BPE's pattern counts as such.
@@ -62,7 +64,7 @@ def pack(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int], bits: i
     kind = np.uint16 if bits <= 16 else np.uint32
     current, planes = ids.astype(kind), []
     for level in range(bits - 1, -1, -1):
-        ones = ((current >> level) & 1).astype(bool)
+        ones = (current & kind(1 << level)) != 0
         blocks, before = [], 0
         for start in range(0, len(ones), BLOCK_BITS):
             block = ones[start : start + BLOCK_BITS]
@@ -215,14 +217,18 @@ class ChunkEncoder:
         self.newline = self.library.encode("\n", add_special_tokens=False).ids
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return np.array(self._ids(text), "<u4").tobytes()
+
+    def _ids(self, text: str) -> list[int]:
+        """The library's ids, without the offsets that nothing here asks for."""
+        return self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def _learn(self, new: list[str]) -> None:
         """Encodes chunks joined by line ends, which are tokens of their own between words."""
         joint = [c for c in new if "\n" not in c and c.strip() and len(c) <= CACHED_CHARS]
         for at in range(0, len(joint), 2000):
             some = joint[at : at + 2000]
-            ids = np.array(self.library.encode("\n".join(some), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self._ids("\n".join(some)), "<u4")
             ends = np.append(np.flatnonzero(ids == self.newline[0]), len(ids)) * 4
             raw, start = ids.tobytes(), 0
             if len(self.newline) == 1 and len(ends) == len(some):
@@ -264,11 +270,22 @@ def _open(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def put(system, hidden: str, final: str) -> None:
+    """Gives a complete file its name.  A file that an earlier attempt put there holds the same bytes and makes way, since not every system's rename replaces."""
+    from pyarrow import fs
+
+    if system.get_file_info(final).type != fs.FileType.NotFound:
+        system.delete_file(final)
+    system.move(hidden, final)
+
+
 def write_token_files(df: DataFrame, id_col: str, text_col: str, folder: str, tokenizer_path: str, end_id: int) -> DataFrame:
     """Writes the files below ``folder`` and returns their list: file, part, piece, n_docs, n_tokens."""
     texts = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    dealt = texts.repartitionByRange(max(1, -(-size // PARTITION_BYTES)), "id").sortWithinPartitions("id", "text")
+    # An id may be repeated without end: its rows are dealt by text, and equal rows by their place.
+    keyed = texts.withColumns({"h": F.xxhash64("text"), "tie": F.monotonically_increasing_id()})
+    dealt = keyed.repartitionByRange(max(1, -(-size // PARTITION_BYTES)), "id", "h", "tie").sortWithinPartitions("id", "h", "tie").select("id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -290,7 +307,7 @@ def write_token_files(df: DataFrame, id_col: str, text_col: str, folder: str, to
             hidden = f"{root}/.{name}-{uuid.uuid4().hex}"
             with system.open_output_stream(hidden) as out:
                 out.write(data)
-            system.move(hidden, f"{root}/{name}")
+            put(system, hidden, f"{root}/{name}")
             row = pa.RecordBatch.from_pylist([{"file": name, "part": part, "piece": piece, "n_docs": len(docs), "n_tokens": held}], schema=listed)
             piece, held = piece + 1, 0
             docs.clear()
@@ -315,8 +332,13 @@ def write_token_files(df: DataFrame, id_col: str, text_col: str, folder: str, to
 
 def read_token_files(files: DataFrame, folder: str) -> DataFrame:
     """Documents of the files: doc_id, start (ids of all documents before it), n_tokens, ids_le (binary)."""
-    order = Window.orderBy("part", "piece").rowsBetween(Window.unboundedPreceding, -1)
-    placed = files.select("file", F.coalesce(F.sum("n_tokens").over(order), F.lit(0)).alias("before"))
+    # Offsets in two steps: within groups of parts, then over the groups' totals, which are few.
+    grouped = files.withColumn("group", F.expr(f"part div {GROUP_PARTS}"))
+    earlier = lambda w: F.coalesce(F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = grouped.groupBy("group").agg(F.sum("n_tokens").alias("n_tokens"))
+    totals = totals.select(F.col("group"), earlier(Window.orderBy("group")).alias("base"))
+    inside = earlier(Window.partitionBy("group").orderBy("part", "piece"))
+    placed = grouped.withColumn("inside", inside).join(totals, "group").select("file", (F.col("base") + F.col("inside")).alias("before"))
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_le", pa.binary())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

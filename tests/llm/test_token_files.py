@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
+from eventlake.llm import queries
 from eventlake.llm import token_files as tf
 from eventlake.llm.rows import shared_folder
 
@@ -51,7 +52,8 @@ def test_write_and_read(spark, monkeypatch):
     files = tf.write_token_files(df, "doc_id", "text", folder, PATH, 0)
     got = tf.read_token_files(files, folder).orderBy("start").collect()
     library = Tokenizer.from_file(PATH)
-    want = sorted(((-1 if d is None else d, t or "") for d, t, _ in rows))
+    keyed = df.selectExpr("coalesce(doc_id, -1) AS d", "coalesce(text, '') AS t").selectExpr("d", "xxhash64(t) AS h", "t").collect()
+    want = [(d, t) for d, _, t in sorted(map(tuple, keyed))]  # of one id by the text's hash
     start = 0
     assert len(got) == len(rows)
     for (doc, text), row in zip(want, got):
@@ -61,3 +63,40 @@ def test_write_and_read(spark, monkeypatch):
     digest = tf.token_file_digest(spark, df, "doc_id", "text", PATH, 0)
     assert sorted(r.ids_crc32 for r in digest.collect()) == sorted(zlib.crc32(bytes(r.ids_le)) for r in got)
     assert tf.token_file_digest(spark, df.limit(0), "doc_id", "text", PATH, 0).count() == 0
+
+
+def test_hot_id_is_split(spark, monkeypatch):
+    """One id, one text: the rows still spread over partitions, and offsets run through."""
+    monkeypatch.setattr(tf, "PARTITION_BYTES", 2000)
+    monkeypatch.setattr(tf, "GROUP_PARTS", 2)
+    df = spark.createDataFrame([(None if i % 2 else 7, "the same words again") for i in range(2000)], "doc_id long, text string").repartition(4)
+    folder = shared_folder(spark, "t")
+    files = tf.write_token_files(df, "doc_id", "text", folder, PATH, 0)
+    shares = [r.n_docs for r in files.collect()]
+    assert sum(shares) == 2000 and max(shares) < 500
+    got = tf.read_token_files(files, folder).collect()
+    assert sorted(r.start for r in got) == list(range(0, 2000 * got[0].n_tokens, got[0].n_tokens))
+    assert max(r.start for r in got if r.doc_id is None) < min(r.start for r in got if r.doc_id == 7)
+
+
+def test_second_attempt_replaces_a_file(tmp_path):
+    from pyarrow import fs
+
+    system = fs.LocalFileSystem()
+    for text in ("one", "two"):
+        (tmp_path / "hidden").write_text(text)
+        tf.put(system, str(tmp_path / "hidden"), str(tmp_path / "final"))
+        assert (tmp_path / "final").read_text() == text and not (tmp_path / "hidden").exists()
+
+
+def test_query(spark):
+    """Every document of a folder against the library."""
+    folder = "/root/testdata/sf0.01"
+    library = Tokenizer.from_file(PATH)
+    start, want = 0, {}
+    for r in sorted(queries.table(spark, folder, "documents").collect(), key=lambda r: r.doc_id):
+        ids = np.array([*library.encode(r.text or "", add_special_tokens=False).ids, 0], "<u4")
+        want[r.doc_id] = (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+    got = queries.op8_token_files(spark, folder).collect()
+    assert len(got) == len(want) and {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in got} == want
