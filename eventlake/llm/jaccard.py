@@ -1,29 +1,37 @@
-"""N-gram Jaccard join of whole documents (operator 6): regions of a metric space, joined recursively and exactly.
+r"""N-gram Jaccard join of whole documents (operator 6): regions of a metric space, joined recursively and exactly.
 
-Equal shingle sets are one class.  Classes link when 100 * intersection >= 90 * union, that is at a
-Jaccard distance of at most 0.1.
+``Measure`` holds the words of a shingle and the least similarity in per cent.  Equal shingle sets are one class.  Classes link
+when 100 * intersection >= percent * union, that is at a Jaccard distance of at most ``radius`` = 1 - percent / 100.
 
 Top level.  Unrelated documents are all at distance 1 from any document taken as pivot, so Voronoi cells around documents would put the corpus
-in one cell.  The first pivots are therefore taken in restrictions of the space: the shingle hashes are cut into
+in one cell (the README has figures).  The first pivots are therefore taken in restrictions of the space: the shingle hashes are cut into
 blocks, and each restriction of a set to a block is the pivot of a cell of its own (distance 0).  A linked pair
-differs in at most a ninth of the smaller set, so with more blocks than that it shares a cell; a document enters the cells of its own size class and the
-next, which is how boundary documents are replicated.  Blocks of under ``SPARSE`` shingles are left out where the spare blocks allow it.
+differs in at most radius / (1 - radius) of the smaller set, so with more blocks than that it shares a cell; a document enters the cells of its own
+size class and the next, which is how boundary documents are replicated.  Blocks of under ``SPARSE`` shingles are left out where the spare
+blocks allow it.  A task keeps one set of each cell and links the others to it at once, so a cell that very many sets share reaches its bucket once a task.
 
 Regions are the components of shared cells.  A region takes documents as pivots: each document belongs to its nearest pivot's
 Voronoi region and, by the triangle inequality, is replicated to every region whose pivot is not more than
-0.2 farther.  Regions are parted again until they are small or parting saves no work, then joined pair by
-pair; pairs already in one component need no check.  Regions over ``REGION_SHINGLES`` are parted by Spark first; one
-that parting does not help is dealt into blocks that meet two by two, so no task holds more than that bound or two documents.
+two radii farther.  Regions are parted again until they are small or parting saves no work, then joined exactly; pairs already in one
+component need no check, and of the others only those that share one of their rarest shingles of the region can link.
 
-Contract: A-Z are lowered, words are ``[^\\x20\\x09-\\x0D]+``, shingles are of three words; a shorter text is one shingle, one without words (or
-null) has an empty set and links with nothing.  Each row gives one row, repeated rows and ids too.  A row without id keeps n_shingles; its
+Regions over ``REGION_WEIGHT`` are parted by Spark.  A document that links with a pivot takes it as its hub, pivots that link with each other are one hub,
+and documents of one hub are in one component.  As long as parting, or finding hubs for documents without one, makes a region
+smaller, it goes on; what is left is dealt into blocks that meet two by two, so no task holds more than ``BLOCK_WEIGHT`` or two documents.
+
+Contract: A-Z are lowered, words are ``[^\x20\x09-\x0D]+``; a text of fewer words than a shingle is one shingle, one without words (or
+null) has an empty set and links with nothing.  ``jaccard_groups``: each row gives one row, repeated rows and ids too.  A row without id keeps n_shingles; its
 component is the smallest id reachable, if any, and a set that only such rows have links with nothing else.  Other columns are not read.
-Sets are compared by 64-bit hashes of their shingles.
+``keep_one_of_each``: of every component one row stays, the one with the smallest id (rows without id last, then by a hash of id and text;
+of rows equal in both the least of the other columns); rows without words are in no group and all stay.  Ids are integers.
+Shingles are compared by 64-bit hashes, whole sets by 128 bits.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -34,24 +42,67 @@ from pyspark.sql import functions as F
 
 from eventlake.llm.components import components
 from eventlake.llm.rows import map_texts, materialize, slices
-from eventlake.llm.url_filter import MAX_BITS, bit_array, passes
+from eventlake.llm.url_filter import bit_array, passes
 
-WORDS = 3
 SPARSE = 2
 PIVOTS = 8
 LEAF_ROWS = 256
 SHRINK = 0.8
-REGION_SHINGLES = 8 << 20
+#: Weights are shingles plus ``ROW_WEIGHT`` for each document.
+ROW_WEIGHT = 256
+REGION_WEIGHT = 1 << 18
+BLOCK_WEIGHT = 1 << 20
 LEAST_BUCKETS = 256
 BUCKET_BYTES = 4 << 20
+#: Cells that a task holds before it links and sends them.
+HELD_CELLS = 1 << 20
+FILTER_BITS = 1 << 28
 CACHED_WORDS = 400_000
 EPSILON = 1e-9
-_MULTIPLY = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 # --- sets ------------------------------------------------------------------------------------------------------------
 
 
+@dataclass(frozen=True)
+class Measure:
+    """``words`` of a shingle; documents link at a similarity of ``percent`` or more."""
+
+    words: int = 5
+    percent: int = 80
+
+    def linked(self, shared, a, b):
+        return 100 * shared >= self.percent * (a + b - shared)
+
+    def longest(self, size):
+        """Greatest size that can link with a set of this size."""
+        return size * 100 // self.percent
+
+    def differ(self, size: int) -> int:
+        """Shingles in which two linked sets can differ, the smaller having this size."""
+        return size * (100 - self.percent) // self.percent
+
+    def prefix(self, size: int) -> int:
+        """Of how many first shingles, in any common order, two linked sets share one."""
+        return size - -(-size * self.percent // 100) + 1
+
+    @property
+    def window(self) -> float:
+        return 2 * (100 - self.percent) / 100 + EPSILON
+
+    @cached_property
+    def bounds(self) -> np.ndarray:
+        """First sizes of the size classes: a linked pair's classes are equal or neighbours."""
+        bounds = [1]
+        while bounds[-1] <= 1 << 40:
+            bounds.append(self.longest(bounds[-1]) + 1)
+        return np.array(bounds)
+
+    def __getstate__(self):
+        return {"words": self.words, "percent": self.percent}
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit integers."""
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
@@ -71,47 +122,35 @@ class WordHashes(dict):
         return value
 
 
-def shingle_set(text: str, hashes: WordHashes) -> np.ndarray:
+def shingle_set(text: str, hashes: WordHashes, width: int) -> np.ndarray:
     """Sorted distinct shingle hashes.  bytes.lower and bytes.split know ASCII only, as the contract does."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.empty(0, np.uint64)
     h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    if len(h) < WORDS:
-        return mixed((h * _MULTIPLY[: len(h)]).sum(keepdims=True) + np.uint64(len(h)))
-    return np.unique(mixed(h[:-2] * _MULTIPLY[0] + h[1:-1] * _MULTIPLY[1] + h[2:] * _MULTIPLY[2]))
-
+    n = min(width, len(h))
+    sums = np.full(len(h) - n + 1, n, np.uint64)
+    for i in range(n):
+        sums += h[i : len(h) - n + 1 + i] * mixed(np.array([i + 1], np.uint64))[0]
+    return np.unique(mixed(sums))
 
-def set_id(shingles: np.ndarray) -> int:
-    """The class of equal sets, as a signed 64-bit integer."""
-    return int(np.array([xxhash.xxh3_64_intdigest(shingles.tobytes())], np.uint64).view(np.int64)[0])
 
-
-def linked(shared, a, b):
-    return 100 * shared >= 90 * (a + b - shared)
+def set_id(shingles: np.ndarray) -> tuple[int, int]:
+    """The class of equal sets: two signed 64-bit integers."""
+    whole = xxhash.xxh3_128_digest(shingles.tobytes())
+    return int.from_bytes(whole[:8], "little", signed=True), int.from_bytes(whole[8:], "little", signed=True)
 
 
 # --- cells -----------------------------------------------------------------------------------------------------------
 
 
-def size_bounds(limit: int) -> list[int]:
-    """First sizes of the classes: a linked pair's classes are equal or neighbours."""
-    bounds = [1]
-    while bounds[-1] <= limit:
-        bounds.append(bounds[-1] * 10 // 9 + 1)
-    return bounds
-
-
-_BOUNDS = np.array(size_bounds(1 << 40))
-
-
-def cells(shingles: np.ndarray) -> np.ndarray:
+def cells(shingles: np.ndarray, measure: Measure) -> np.ndarray:
     """Cells (64-bit) that a set enters."""
     n = len(shingles)
-    own = int(np.searchsorted(_BOUNDS, n, "right")) - 1
+    own = int(np.searchsorted(measure.bounds, n, "right")) - 1
     out = []
     for group in (own, own + 1):
-        differ = int(_BOUNDS[group + 1] - 1) // 9
+        differ = measure.differ(int(measure.bounds[group + 1] - 1))
         if not differ:
             continue
         spare = max(1, differ // 16)
@@ -126,22 +165,37 @@ def cells(shingles: np.ndarray) -> np.ndarray:
         sparse = count < SPARSE
         # Of spare + 1 equal blocks at least one is not sparse, unless a set has more sparse ones; such a set enters them all.
         entered = np.arange(blocks) if sparse.sum() > spare else np.flatnonzero(~sparse)
-        out.append(mixed(sums[entered] + entered.astype(np.uint64) * _MULTIPLY[1] + np.array([group], np.uint64) * _MULTIPLY[2]))
+        out.append(mixed(sums[entered] + entered.astype(np.uint64) * _ODD + mixed(np.array([group + 1], np.uint64))))
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
+def stars(cell: np.ndarray, cid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each distinct cell, its least set, and the distinct links (set, least set) of all others."""
+    order = np.lexsort((cid, cell))
+    cell, cid = cell[order], cid[order]
+    first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])) if len(cell) else np.empty(0, np.int64)
+    least = np.repeat(cid[first], np.diff(np.append(first, len(cell))))
+    other = cid != least
+    return cell[first], cid[first], np.unique(np.stack([cid[other], least[other]], axis=1), axis=0)
+
+
 # --- regions ---------------------------------------------------------------------------------------------------------
 
 
 class Region:
     """Documents of a region: joins them by pivots and windows; ``root`` gives each one's local component."""
 
-    def __init__(self, sets: list[np.ndarray], known: np.ndarray | None = None):
+    def __init__(self, sets: list[np.ndarray], measure: Measure, known: np.ndarray | None = None):
         """``known``: a label of each document, equal (and not -1) where two are in one component already."""
+        self.measure = measure
         sizes = np.array([len(s) for s in sets])
         self.order = np.argsort(sizes, kind="stable")
         self.sizes = sizes[self.order]
-        _, flat = np.unique(np.concatenate([sets[i] for i in self.order]), return_inverse=True)
+        _, flat, seen = np.unique(np.concatenate([sets[i] for i in self.order]), return_inverse=True, return_counts=True)
+        # Shingles are numbered by how rare they are in the region.
+        number = np.empty(len(seen), np.int64)
+        number[np.argsort(seen, kind="stable")] = np.arange(len(seen))
+        flat = number[flat]
         self.sets = np.split(flat, np.cumsum(self.sizes)[:-1])
         self.mark = np.zeros(int(flat.max()) + 1, bool)
         self.root = np.arange(len(sets))
@@ -163,28 +217,37 @@ class Region:
         self.compared += len(starts)
         return shared
 
-    def pairs(self, members: np.ndarray) -> None:
-        """All pairs of sizes that can link and that are not in one component yet."""
-        sizes = self.sizes[members]
-        flat = np.concatenate([self.sets[i] for i in members])
-        edges = np.concatenate([[0], np.cumsum(sizes)])
-        ends = np.searchsorted(sizes, sizes * 10 // 9, "right")
-        for at, (a, end) in enumerate(zip(members.tolist(), ends.tolist())):
-            rest = members[at + 1 : end]
-            other = np.flatnonzero(self.root[rest] != self.root[a])
-            if not len(other):
-                continue
-            if 4 * len(other) < len(rest):  # few are not in a's component: only those are read
-                rest = rest[other]
-                shared = self._shared(a, np.concatenate([self.sets[i] for i in rest]), np.concatenate([[0], np.cumsum(self.sizes[rest])[:-1]]))
-            else:
-                shared = self._shared(a, flat[edges[at + 1] : edges[end]], edges[at + 1 : end] - edges[at + 1])
-            hits = rest[linked(shared, self.sizes[a], self.sizes[rest])]
+    def _check(self, a: int, others: np.ndarray) -> None:
+        """Links ``a`` with those of the others that are near enough."""
+        others = others[self.root[others] != self.root[a]]
+        if len(others):
+            flat = np.concatenate([self.sets[i] for i in others])
+            shared = self._shared(a, flat, np.concatenate([[0], np.cumsum(self.sizes[others])[:-1]]))
+            hits = others[self.measure.linked(shared, self.sizes[a], self.sizes[others])]
             if len(hits):
                 self._join(a, hits)
 
+    def pairs(self, members: np.ndarray) -> None:
+        """All links of members that are not in one component yet: two linked sets share one of their rarest shingles."""
+        first = [np.sort(self.sets[a])[: self.measure.prefix(int(self.sizes[a]))] for a in members]
+        _, flat = np.unique(np.concatenate(first), return_inverse=True)
+        owner = np.repeat(np.arange(len(members)), [len(x) for x in first])[np.argsort(flat, kind="stable")]
+        start = np.searchsorted(np.sort(flat), np.arange(int(flat.max()) + 1)).tolist()
+        end = list(start)  # members are posted as their turn comes
+        met = np.zeros(len(members), bool)
+        for a, own in zip(members.tolist(), np.split(flat, np.cumsum([len(x) for x in first])[:-1])):
+            own = own.tolist()
+            earlier = [owner[start[x] : end[x]] for x in own if end[x] > start[x]]
+            for x in own:
+                end[x] += 1
+            if earlier:
+                met[np.concatenate(earlier)] = True
+                others = members[met]
+                met[:] = False
+                self._check(a, others[self.measure.longest(self.sizes[others]) >= self.sizes[a]])
+
     def join(self, members: np.ndarray | None = None) -> None:
-        """Voronoi regions of some members, with windows; where these would not save pairs, all are joined pair by pair."""
+        """Voronoi regions of some members, with windows; where these would not save pairs, the members are joined as one."""
         members = np.arange(len(self.sets)) if members is None else members
         if len(members) <= LEAF_ROWS:
             return self.pairs(members)
@@ -198,8 +261,8 @@ class Region:
         for row, p in zip(distance, pivots.tolist()):
             shared = self._shared(p, flat, starts)
             row[:] = 1 - shared / (self.sizes[p] + sizes - shared)
-            self._join(p, members[linked(shared, self.sizes[p], sizes)])
-        inside = distance <= distance.min(axis=0) + 0.2 + EPSILON
+            self._join(p, members[self.measure.linked(shared, self.sizes[p], sizes)])
+        inside = distance <= distance.min(axis=0) + self.measure.window
         nearest = distance.argmin(axis=0)
         parts = [members[row] for j, row in enumerate(inside) if (nearest == j).any()]
         if sum(len(p) ** 2 for p in parts) > SHRINK * len(members) ** 2:
@@ -210,10 +273,10 @@ class Region:
         return None
 
 
-def join_region(ids: np.ndarray, sets: list[np.ndarray], known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def join_region(ids: np.ndarray, sets: list[np.ndarray], measure: Measure, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Each id and the smallest id of its component in the region, for components of more than one."""
     ids, first = np.unique(ids, return_index=True)
-    region = Region([sets[i] for i in first], None if known is None else known[first])
+    region = Region([sets[i] for i in first], measure, None if known is None else known[first])
     region.join()
     of = ids[region.order]
     least = np.full(len(ids), np.iinfo(np.int64).max)
@@ -222,6 +285,32 @@ def join_region(ids: np.ndarray, sets: list[np.ndarray], known: np.ndarray | Non
     return of[root != of], root[root != of]
 
 
+class Pivots:
+    """A region's pivots.  ``hubs``: pivots that link with each other, directly or through others, have one hub."""
+
+    def __init__(self, ids: list[int], sets: list[np.ndarray], hubs: list[int | None], measure: Measure):
+        self.sets, self.measure = sets, measure
+        own, root = join_region(np.array(ids), sets, measure)
+        joint = dict(zip(own.tolist(), root.tolist()))
+        self.hubs = [joint.get(i, i) for i in ids]
+        # A pivot that had a hub from an earlier round brings it along.
+        earlier: dict[int, int] = {}
+        for hub, old in zip(self.hubs, hubs):
+            if old is not None:
+                earlier[hub] = min(old, earlier.get(hub, old))
+        self.hubs = [earlier.get(h, h) for h in self.hubs]
+
+    def place(self, own: np.ndarray) -> tuple[list[float], int | None]:
+        """Distance to each pivot, and the hub of the first one it links with."""
+        distance, hub = [], None
+        for other, its in zip(self.sets, self.hubs):
+            shared = len(np.intersect1d(own, other, assume_unique=True))
+            distance.append(1 - shared / (len(own) + len(other) - shared))
+            if hub is None and self.measure.linked(shared, len(own), len(other)):
+                hub = its
+        return distance, hub
+
+
 # --- the operator ----------------------------------------------------------------------------------------------------
 
 
@@ -231,100 +320,119 @@ def _buckets(df: DataFrame) -> int:
     return int(min(1 << 20, max(LEAST_BUCKETS, size // BUCKET_BYTES)))
 
 
-def sets_and_cells(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows of two kinds: id, cid, n of each document (pivot null), and cid, pivot (the least cid) of each shared cell."""
+_DIGEST = "id long, k1 long, k2 long, cid long, chk long, n long, pivot long"
+_DIGEST_ARROW = [(name, pa.int64()) for name in ("id", "k1", "k2", "cid", "chk", "n", "pivot")]
+
+
+def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, text, and k1, k2: a 128-bit key of both."""
+    one, text = F.col(f"`{id_col}`").cast("long"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    hashed = lambda seed: F.xxhash64(F.lit(seed), one.isNull(), one, text)
+    return df.select(one.alias("id"), hashed(1).alias("k1"), hashed(2).alias("k2"), text.alias("text"))
+
+
+def sets_and_cells(df: DataFrame, id_col: str, text_col: str, measure: Measure) -> DataFrame:
+    """Rows of two kinds: id, k1, k2, cid, chk, n of each document (pivot null), and cid, pivot (the least cid) of shared cells."""
     buckets = _buckets(df)
-    texts = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    names = ["bucket", "id", "cid", "n", "cells", "cids"]
-    schema = pa.schema(list(zip(names, [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()])))
+    schema = pa.schema([("bucket", pa.int32()), *_DIGEST_ARROW, ("cells", pa.binary()), ("cids", pa.binary())])
+
+    def batch_of(size: int, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(size, f.type) for f in schema], schema=schema)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, entered, row = WordHashes(), set(), 0
+        held: list[tuple[np.ndarray, int]] = []
+        size = 0
+
+        def send() -> Iterator[pa.RecordBatch]:
+            nonlocal size
+            flat = np.concatenate([c for c, _ in held])
+            cell, cid, links = stars(flat, np.repeat(np.array([i for _, i in held], np.int64), [len(c) for c, _ in held]))
+            held.clear()
+            size = 0
+            where = (cell % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(where, kind="stable")
+            rest, cid, where = (cell // np.uint64(buckets)).astype(np.uint32)[order], cid[order], where[order]
+            at = np.flatnonzero(np.diff(where, prepend=-1))
+            parts = list(zip(at.tolist(), np.append(at[1:], len(where)).tolist()))
+            yield batch_of(len(at), bucket=where[at], cells=[rest[a:b].tobytes() for a, b in parts], cids=[cid[a:b].tobytes() for a, b in parts])
+            if len(links):
+                yield batch_of(len(links), bucket=np.arange(len(links), dtype=np.int32) % buckets, cid=links[:, 0], pivot=links[:, 1])
+
         for batch in batches:
             for few in slices(batch, "text"):
-                ids = few.column("id").to_pylist()
-                cids, sizes, found, owner = [], [], [], []
+                ids, sizes = [], []
                 for text in few.column("text").to_pylist():
-                    shingles = shingle_set(text, hashes)
-                    cid = set_id(shingles) if len(shingles) else None
-                    cids.append(cid)
+                    shingles = shingle_set(text, hashes, measure.words)
+                    own = set_id(shingles) if len(shingles) else (None, None)
+                    ids.append(own)
                     sizes.append(len(shingles))
-                    if cid is not None and cid not in entered:
+                    if own[0] is not None and own[0] not in entered:
                         if len(entered) >= CACHED_WORDS:
                             entered.clear()
-                        entered.add(cid)
-                        mine = cells(shingles)
-                        found.append(mine)
-                        owner.append(np.full(len(mine), cid, np.int64))
-                spread = [(row + i) % buckets for i in range(len(ids))]
-                row += len(ids)
-                yield pa.RecordBatch.from_arrays([pa.array(spread, pa.int32()), pa.array(ids, pa.int64()), pa.array(cids, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(len(ids), pa.binary()), pa.nulls(len(ids), pa.binary())], schema=schema)
-                if found and sum(map(len, found)):
-                    flat, of = np.concatenate(found), np.concatenate(owner)
-                    where = (flat % np.uint64(buckets)).astype(np.int32)
-                    order = np.argsort(where, kind="stable")
-                    rest, of, where = (flat // np.uint64(buckets)).astype(np.uint32)[order], of[order], where[order]
-                    at = np.flatnonzero(np.diff(where, prepend=-1))
-                    ends = np.append(at[1:], len(where))
-                    parts = [(rest[a:b].tobytes(), of[a:b].tobytes()) for a, b in zip(at.tolist(), ends.tolist())]
-                    none = pa.nulls(len(parts), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(where[at]), none, none, none, pa.array([p[0] for p in parts], pa.binary()), pa.array([p[1] for p in parts], pa.binary())], schema=schema)
+                        entered.add(own[0])
+                        mine = cells(shingles, measure)
+                        if len(mine):
+                            held.append((mine, own[0]))
+                            size += len(mine)
+                n = few.num_rows
+                spread = (row + np.arange(n)) % buckets
+                row += n
+                yield batch_of(n, bucket=spread.astype(np.int32), id=few.column("id"), k1=few.column("k1"), k2=few.column("k2"), cid=[i[0] for i in ids], chk=[i[1] for i in ids], n=sizes)
+                if size >= HELD_CELLS:
+                    yield from send()
+        if held:
+            yield from send()
 
     def meet(table: pa.Table) -> pa.Table:
-        documents = table.filter(pc.is_null(table.column("cells")))
+        names = [n for n, _ in _DIGEST_ARROW]
+        done = table.filter(pc.is_null(table.column("cells"))).select(names)
         packed = table.filter(pc.is_valid(table.column("cells")))
-        pairs = np.empty((0, 2), np.int64)
-        if packed.num_rows:
-            cell = np.frombuffer(b"".join(packed.column("cells").to_pylist()), np.uint32)
-            cid = np.frombuffer(b"".join(packed.column("cids").to_pylist()), np.int64)
-            order = np.lexsort((cid, cell))
-            cell, cid = cell[order], cid[order]
-            first = np.flatnonzero(np.diff(cell, prepend=np.uint32(~cell[0])))
-            pivot = np.repeat(cid[first], np.diff(np.append(first, len(cell))))
-            pairs = np.unique(np.stack([cid, pivot], axis=1)[cid != pivot], axis=0)
-        n = len(pairs)
-        out = {
-            "id": pa.concat_arrays([documents.column("id").combine_chunks(), pa.nulls(n, pa.int64())]),
-            "cid": pa.concat_arrays([documents.column("cid").combine_chunks(), pa.array(pairs[:, 0])]),
-            "n": pa.concat_arrays([documents.column("n").combine_chunks(), pa.nulls(n, pa.int64())]),
-            "pivot": pa.concat_arrays([pa.nulls(documents.num_rows, pa.int64()), pa.array(pairs[:, 1])]),
-        }
-        return pa.table(out)
-
-    dealt = texts.mapInArrow(work, "bucket int, id long, cid long, n long, cells binary, cids binary")
-    return materialize(dealt.groupBy("bucket").applyInArrow(meet, "id long, cid long, n long, pivot long"), "jaccard-cells")
-
-
-def _split(sets: DataFrame) -> DataFrame:
+        if not packed.num_rows:
+            return done
+        cell = np.frombuffer(b"".join(packed.column("cells").to_pylist()), np.uint32)
+        links = stars(cell, np.frombuffer(b"".join(packed.column("cids").to_pylist()), np.int64))[2]
+        more = {"cid": pa.array(links[:, 0]), "pivot": pa.array(links[:, 1])}
+        return pa.concat_tables([done, pa.table([more[n] if n in more else pa.nulls(len(links), pa.int64()) for n in names], names=names)])
+
+    dealt = _keyed(df, id_col, text_col).mapInArrow(work, f"bucket int, {_DIGEST}, cells binary, cids binary")
+    return materialize(dealt.groupBy("bucket").applyInArrow(meet, _DIGEST), "jaccard-cells")
+
+
+def _weight():
+    return F.sum(F.col("n") + ROW_WEIGHT)
+
+
+def _split(sets: DataFrame, measure: Measure) -> DataFrame:
     """One round of Voronoi regions by Spark: ``sets`` (region, cid, n, hub, shingles) of regions over the bound.
 
-    A document gives a row for each part it enters; ``first`` marks one of them.  Its new hub is the first pivot it links with, or its old one.
+    A document gives a row for each part it enters; ``first`` marks one of them.  Its new hub is that of the first pivot it links with, or its
+    old one; ``old`` keeps that, since both are in one component.  Pivots are taken from the documents without a hub first.
     """
-    rank = F.row_number().over(Window.partitionBy("region").orderBy(F.xxhash64("cid", "region"), "cid"))
+    rank = F.row_number().over(Window.partitionBy("region").orderBy(F.col("hub").isNotNull(), F.xxhash64("cid", "region"), "cid"))
     chosen = sets.withColumn("rank", rank).where(F.col("rank") <= PIVOTS)
-    pivots = chosen.groupBy("region").agg(F.array_sort(F.collect_list(F.struct("cid", "shingles"))).alias("pivots"))
-    schema = pa.schema([("region", pa.int64()), ("part", pa.int32()), ("first", pa.bool_()), ("cid", pa.int64()), ("n", pa.int64()), ("hub", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+    pivots = chosen.groupBy("region").agg(F.array_sort(F.collect_list(F.struct("cid", "hub", "shingles"))).alias("pivots"))
+    schema = pa.schema([("region", pa.int64()), ("part", pa.int32()), ("first", pa.bool_()), ("cid", pa.int64()), ("n", pa.int64()), ("hub", pa.int64()), ("old", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = known = None
         for batch in batches:
             regions, ids, sizes, hubs = (batch.column(c).to_pylist() for c in ("region", "cid", "n", "hub"))
             out = {name: [] for name in schema.names}
             for i in range(batch.num_rows):
+                if regions[i] != last:
+                    last, found = regions[i], batch.column("pivots")[i].values
+                    fields = [found.field(j) for j in range(3)]
+                    known = Pivots(fields[0].to_pylist(), [x.values.to_numpy() for x in fields[2]], fields[1].to_pylist(), measure)
                 own = batch.column("shingles")[i].values.to_numpy()
-                distance, hub = [], None
-                for pivot in batch.column("pivots")[i].values.to_pylist():
-                    other = np.array(pivot["shingles"], np.int64)
-                    shared = len(np.intersect1d(own, other, assume_unique=True))
-                    distance.append(1 - shared / (len(own) + len(other) - shared))
-                    if hub is None and linked(shared, len(own), len(other)):
-                        hub = pivot["cid"]
+                distance, hub = known.place(own)
                 nearest = int(np.argmin(distance))
-                for j in np.flatnonzero(np.array(distance) <= min(distance) + 0.2 + EPSILON).tolist():
-                    for name, value in zip(schema.names, (regions[i], j, j == nearest, ids[i], sizes[i], hubs[i] if hub is None else hub, own)):
+                for j in np.flatnonzero(np.array(distance) <= min(distance) + measure.window).tolist():
+                    for name, value in zip(schema.names, (regions[i], j, j == nearest, ids[i], sizes[i], hubs[i] if hub is None else hub, hubs[i], own)):
                         out[name].append(value)
             yield pa.RecordBatch.from_pydict(out, schema=schema)
 
-    return sets.join(pivots, "region").mapInArrow(part, "region long, part int, first boolean, cid long, n long, hub long, shingles array<long>")
+    return sets.join(pivots, "region").mapInArrow(part, "region long, part int, first boolean, cid long, n long, hub long, old long, shingles array<long>")
 
 
 def _blocks(stuck: DataFrame) -> DataFrame:
@@ -332,29 +440,29 @@ def _blocks(stuck: DataFrame) -> DataFrame:
 
     Documents of one hub are in one component, so blocks of one hub do not meet; a region whose documents all have one hub ends here.
     """
-    count = F.ceil(F.sum("n") / F.lit(max(1, REGION_SHINGLES // 2))).cast("int")
+    count = F.ceil(_weight() / F.lit(max(1, BLOCK_WEIGHT // 2))).cast("int")
     dealt = materialize(stuck.groupBy("region", "hub").agg(count.alias("count")), "jaccard-blocks")
-    hubs = dealt.groupBy("region").agg(F.collect_list(F.struct("hub", "count")).alias("others"))  # PIVOTS hubs of each round at most, and none
-    own = stuck.join(dealt.select("region", F.col("hub").alias("its_hub"), "count"), (stuck.region == dealt.region) & stuck.hub.eqNullSafe(F.col("its_hub"))).select(stuck["*"], "count")
-    own = own.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("count"))).join(hubs, "region")
-    met = own.withColumn("other", F.explode("others")).where("hub IS NULL OR NOT (other.hub <=> hub)")
-    met = met.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("other.count") - 1))).where("NOT (other.hub <=> hub) OR count = 1 OR with <> block")
-    mine, its = F.xxhash64("hub", F.col("block").cast("long")), F.xxhash64("other.hub", F.col("with").cast("long"))
+    others = dealt.select(F.col("region").alias("in_region"), F.col("hub").alias("other"), F.col("count").alias("parts"))
+    own = stuck.join(dealt.select(F.col("region").alias("its_region"), F.col("hub").alias("its_hub"), "count"), (stuck.region == F.col("its_region")) & stuck.hub.eqNullSafe(F.col("its_hub"))).select(stuck["*"], "count")
+    own = own.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("count")))
+    met = own.join(others, F.col("region") == F.col("in_region")).where("hub IS NULL OR NOT (other <=> hub)")
+    met = met.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("NOT (other <=> hub) OR count = 1 OR with <> block")
+    mine, its = F.xxhash64("hub", F.col("block").cast("long")), F.xxhash64("other", F.col("with").cast("long"))
     return met.select(F.xxhash64("region", F.least(mine, its), F.greatest(mine, its)).alias("region"), "cid", "n", "hub", "shingles")
 
 
-def _join_regions(sets: DataFrame) -> DataFrame:
+def _join_regions(sets: DataFrame, measure: Measure) -> DataFrame:
     """Links (a, b) that connect the components of all regions.
 
-    Each round parts the regions over ``REGION_SHINGLES``.  One whose parts would still meet in nearly as many pairs
-    (sum of squares over ``SHRINK``) goes to ``_blocks``; all others are joined by a task each once they are small.
+    Each round parts the regions over ``REGION_WEIGHT``.  It has helped if the parts meet in far fewer pairs (sum of squares at most ``SHRINK``),
+    or if a third of the documents without a hub found one; a region that neither helps goes to ``_blocks``.  All others are joined by a task each once they are small.
     """
 
     def join(table: pa.Table) -> pa.Table:
         shingles = table.column("shingles").combine_chunks()
         flat, offsets = shingles.flatten().to_numpy(), shingles.offsets.to_numpy() - shingles.offsets[0].as_py()
         known = pc.fill_null(table.column("hub"), -1).to_numpy()
-        own, root = join_region(table.column("cid").to_numpy(), np.split(flat, offsets[1:-1]), known)
+        own, root = join_region(table.column("cid").to_numpy(), np.split(flat, offsets[1:-1]), measure, known)
         return pa.table({"a": own, "b": root})
 
     def joined(regions: DataFrame) -> DataFrame:
@@ -363,68 +471,106 @@ def _join_regions(sets: DataFrame) -> DataFrame:
     sets = sets.select("region", "cid", "n", F.lit(None).cast("long").alias("hub"), "shingles")
     links = []
     while True:
-        sizes = sets.groupBy("region").agg(F.sum("n").alias("size"))
-        large = materialize(sizes.where(F.col("size") > REGION_SHINGLES), "jaccard-large")
+        weights = sets.groupBy("region").agg(_weight().cast("double").alias("size"), F.count_if(F.col("hub").isNull()).alias("alone"), F.count_distinct(F.coalesce("hub", F.lit(-1))).alias("hubs"))
+        large = materialize(weights.where(F.col("size") > REGION_WEIGHT), "jaccard-large")
         if large.isEmpty():
             links.append(joined(sets))
             break
         links.append(joined(sets.join(large, "region", "left_anti")))
-        parted = materialize(_split(sets.join(large.select("region"), "region", "left_semi")), "jaccard-parts")
-        links.append(parted.where("first AND hub IS NOT NULL").select(F.col("cid").alias("a"), F.col("hub").alias("b")))
-        parts = parted.groupBy("region", "part").agg(F.sum("n").cast("double").alias("size")).groupBy("region").agg(F.sum(F.col("size") * F.col("size")).alias("squares"))
-        helped = materialize(large.join(parts, "region").where(F.col("squares") <= SHRINK * F.col("size") * F.col("size")).select("region"), "jaccard-helped")
-        stuck = parted.where("first").join(helped, "region", "left_anti").select("region", "cid", "n", "hub", "shingles")
-        links.append(joined(_blocks(stuck)))
-        if helped.isEmpty():
+        parted = materialize(_split(sets.join(large.select("region"), "region", "left_semi"), measure), "jaccard-parts")
+        own = parted.where("first")
+        links += [own.where("hub IS NOT NULL").select(F.col("cid").alias("a"), F.col("hub").alias("b")), own.where("old IS NOT NULL").select(F.col("cid").alias("a"), F.col("old").alias("b"))]
+        squares = parted.groupBy("region", "part").agg(_weight().cast("double").alias("size")).groupBy("region").agg(F.sum(F.col("size") * F.col("size")).alias("squares"))
+        left = own.groupBy("region").agg(F.count_if(F.col("hub").isNull()).alias("still_alone"))
+        judged = materialize(large.join(squares, "region").join(left, "region").select(
+            "region", (F.col("squares") <= SHRINK * F.col("size") * F.col("size")).alias("smaller"),
+            ((F.col("still_alone") > 0) & (3 * F.col("still_alone") <= 2 * F.col("alone"))).alias("fewer"),
+        ), "jaccard-judged")
+        of = lambda rows, which: rows.join(judged.where(which).select("region"), "region", "left_semi")
+        names = ("cid", "n", "hub", "shingles")
+        links.append(joined(_blocks(of(own, "NOT smaller AND NOT fewer").select("region", *names))))
+        again = of(parted, "smaller").select(F.xxhash64("region", "part").alias("region"), *names).unionByName(of(own, "NOT smaller AND fewer").select("region", *names))
+        sets = materialize(again, "jaccard-sets")
+        if sets.isEmpty():
             break
-        sets = materialize(parted.join(helped, "region", "left_semi").select(F.xxhash64("region", "part").alias("region"), "cid", "n", "hub", "shingles"), "jaccard-sets")
     out = links[0]
     for more in links[1:]:
         out = out.unionByName(more)
     return out
 
 
-def jaccard_groups(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, n_shingles, component_id."""
-    found = sets_and_cells(df, id_col, text_col)
-    rows = found.where("pivot is null").select("id", "cid", "n")
-    regions = materialize(components(found.where("pivot is not null").select(F.col("cid").alias("a"), F.col("pivot").alias("b"))), "jaccard-regions")
-    classes = rows.where("cid is not null").groupBy("cid").agg(F.min("id").alias("first_id"))
-    needed = materialize(regions.select(F.col("node").alias("cid"), F.col("component").alias("region")).join(classes, "cid").where("first_id is not null"), "jaccard-needed")
-
-    texts = df.select(F.col(f"`{id_col}`").cast("long").alias("first_id"), F.col(f"`{text_col}`").alias("text"))
-    count = needed.count()
-    bits = max(64, 12 * count)
-    if bits <= MAX_BITS:  # a Bloom filter keeps most other documents out of the shuffle; beyond that size the join does it alone
-        words = materialize(bit_array(needed.select(F.col("first_id").alias("key")), bits, 0), "jaccard-filter")
-        texts = texts.where(passes(F.col("first_id"), words.scalar(), bits, 0))
+def _classes(found: DataFrame, measure: Measure, df: DataFrame, id_col: str, text_col: str, without_ids: bool) -> DataFrame:
+    """cid, chk, component (a node of the class's component), first_id, k1, k2 (its first row's) and rows, one row for each distinct set that takes part.
+
+    ``without_ids``: whether sets that only rows without id have take part.
+    """
+    rows = found.where("pivot IS NULL AND cid IS NOT NULL")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2"))
+    classes = rows.groupBy("cid", "chk").agg(first.alias("x")).select("cid", "chk", F.col("x.id").alias("first_id"), "x.k1", "x.k2")
+    if not without_ids:
+        classes = classes.where("first_id IS NOT NULL")
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "jaccard-classes")
+    near = components(found.where("pivot IS NOT NULL").select(F.col("cid").alias("a"), F.col("pivot").alias("b")))
+    needed = materialize(classes.join(near.select(F.col("node").alias("cid"), F.col("component").alias("region")), "cid").select("region", "node", "k1", "k2"), "jaccard-needed")
+
+    # A Bloom filter keeps other documents out of the shuffle; what it lets through by mistake, the join drops.
+    texts = _may_be(_keyed(df, id_col, text_col), "k1", needed).groupBy("k1", "k2").agg(F.min("text").alias("text"))
 
     def work():
         hashes = WordHashes()
 
         def step(keys, texts):
-            sets = [shingle_set(t, hashes) for t in texts]
-            same = [i for i, (s, c) in enumerate(zip(sets, keys[0].to_pylist())) if len(s) and set_id(s) == c]
-            at = pa.array(same, pa.int64())
-            return [keys[0].take(at), keys[1].take(at), pa.array([len(sets[i]) for i in same], pa.int64()), pa.array([sets[i].view(np.int64) for i in same], pa.list_(pa.int64()))]
+            sets = [shingle_set(t, hashes, measure.words) for t in texts]
+            return [keys[0], keys[1], pa.array([len(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))]
 
         return step
 
-    joined = texts.join(needed, "first_id")
-    sets = map_texts(joined, ["cid", "region"], "text", "cid long, region long, n long, shingles array<long>", work)
-    links = _join_regions(materialize(sets, "jaccard-sets"))
-    joint = components(links)
-    placed = classes.join(joint.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    sets = map_texts(texts.join(needed, ["k1", "k2"]), ["node", "region"], "text", "cid long, region long, n long, shingles array<long>", work)
+    joint = components(_join_regions(materialize(sets, "jaccard-sets"), measure))
+    return classes.join(joint, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def _may_be(rows: DataFrame, key: str, wanted: DataFrame, yes: bool = True) -> DataFrame:
+    """Rows whose key is in ``wanted``, and some others; or, not ``yes``, the rest.  A longer list lets more through, its array does not grow past the bound."""
+    count = wanted.count()
+    bits = int(min(FILTER_BITS, max(64, 12 * count)))
+    words = materialize(bit_array(wanted.select(F.col(key).alias("key")), bits, 0), "jaccard-filter")
+    may = passes(F.col(key), words.scalar(), bits, 0)
+    return rows.where(may if yes else ~may)
+
+
+def jaccard_groups(df: DataFrame, id_col: str, text_col: str, measure: Measure = Measure()) -> DataFrame:
+    """id, n_shingles, component_id."""
+    found = sets_and_cells(df, id_col, text_col, measure)
+    placed = materialize(_classes(found, measure, df, id_col, text_col, False), "jaccard-placed")
     smallest = placed.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    per_class = placed.join(smallest, "component").select("cid", "component_id")
-    full = rows.where("cid is not null").join(per_class, "cid").select("id", "n", "component_id")
-    empty = rows.where("cid is null").select("id", "n", F.col("id").alias("component_id"))
+    per_class = placed.join(smallest, "component").select("cid", "chk", "component_id")
+    rows = found.where("pivot IS NULL")
+    full = rows.where("cid IS NOT NULL").join(per_class, ["cid", "chk"], "left").select("id", "n", "component_id")
+    empty = rows.where("cid IS NULL").select("id", "n", F.col("id").alias("component_id"))
     return full.unionByName(empty).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
-def keep_one_of_each(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The rows whose id is their component's smallest, with all their columns (rows without id stay)."""
-    groups = jaccard_groups(df, id_col, text_col)
-    kept = groups.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col)).distinct()
-    alone = df.where(F.col(f"`{id_col}`").isNull())
-    return df.join(kept, id_col, "left_semi").select(*df.columns).unionByName(alone)
+def keep_one_of_each(df: DataFrame, id_col: str, text_col: str, measure: Measure = Measure()) -> DataFrame:
+    """One row of each component, with all its columns, and every row without words."""
+    found = sets_and_cells(df, id_col, text_col, measure)
+    placed = materialize(_classes(found, measure, df, id_col, text_col, True), "jaccard-placed")
+    best = placed.groupBy("component").agg(F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "k1", "k2")).alias("x"))
+    per_class = placed.select("cid", "chk", "component").join(best, "component").select("cid", "chk", F.col("x.k1").alias("b1"), F.col("x.k2").alias("b2"))
+    keys = found.where("pivot IS NULL AND cid IS NOT NULL").groupBy("cid", "chk", "k1", "k2").agg(F.count("*").alias("copies"))
+    stays = (F.col("k1") == F.col("b1")) & (F.col("k2") == F.col("b2"))
+    # All other rows are the only ones of their key and the first of their component.
+    doubtful = materialize(keys.join(per_class, ["cid", "chk"]).select("k1", "k2", stays.alias("stays"), "copies").where("NOT stays OR copies > 1").drop("copies"), "jaccard-doubtful")
+
+    longer = "k" * (1 + max(map(len, df.columns)))  # such names cannot clash
+    k1, k2, verdict = (longer + x for x in ("1", "2", "_stays"))
+    one, text = F.col(f"`{id_col}`").cast("long"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    keyed = df.withColumns({k: F.xxhash64(F.lit(seed), one.isNull(), one, text) for seed, k in ((1, k1), (2, k2))})
+    listed = doubtful.select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("stays").alias(verdict))
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    clear = _may_be(keyed, k1, listed, yes=False).select(*columns)
+    checked = _may_be(keyed, k1, listed).join(listed, [k1, k2], "left")
+    whole = F.struct(*columns)
+    least = F.first(whole) if "map<" in df.schema.simpleString() or "variant" in df.schema.simpleString() else F.min(whole)
+    firsts = checked.where(F.col(f"`{verdict}`")).groupBy(k1, k2).agg(least.alias(verdict)).select(f"`{verdict}`.*")
+    return clear.unionByName(checked.where(F.col(f"`{verdict}`").isNull()).select(*columns)).unionByName(firsts)

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from eventlake.llm import jaccard, queries
@@ -12,9 +13,45 @@ def words_of(text):
     return re.findall(r"[^\x20\x09-\x0D]+", low)
 
 
-def shingles(text):
+def shingles(text, width=3):
     w = words_of(text)
-    return frozenset([tuple(w)] if 0 < len(w) < 3 else zip(w, w[1:], w[2:]))
+    return frozenset([tuple(w)] if 0 < len(w) < width else (tuple(w[i : i + width]) for i in range(len(w) - width + 1)))
+
+
+def components_of(rows, width, percent):
+    """Set -> some set that stands for its component."""
+    sets = dict.fromkeys(s for _, t in rows if (s := shingles(t, width)))
+    root = {s: s for s in sets}
+
+    def find(s):
+        while root[s] is not s:
+            s = root[s]
+        return s
+
+    where = {}
+    for s in sets:
+        seen = set()
+        for x in s:
+            for o in where.setdefault(x, []):
+                if o not in seen:
+                    seen.add(o)
+                    if 100 * len(s & o) >= percent * len(s | o):
+                        root[find(s)] = find(o)
+            where[x].append(s)
+    return {s: find(s) for s in sets}
+
+
+def brute_kept(rows, width=5, percent=80):
+    """Ids (None last) of the rows that stay, one of each component and all without words."""
+    of = components_of(rows, width, percent)
+    least, out = {}, []
+    for d, t in rows:
+        s = shingles(t, width)
+        if not s:
+            out.append(d)
+        else:
+            least.setdefault(of[s], []).append(d)
+    return sorted(repr(d) for d in out + [min(ids, key=lambda d: (d is None, d or 0)) for ids in least.values()])
 
 
 def brute(rows):
@@ -71,32 +108,42 @@ def texts():
     return out
 
 
-def test_cells_hold_every_link():
+MEASURES = [jaccard.Measure(3, 90), jaccard.Measure(5, 80), jaccard.Measure(2, 95)]
+
+
+@pytest.mark.parametrize("measure", MEASURES)
+def test_cells_hold_every_link(measure):
     """Of each linked pair, at least one cell is shared."""
     rng = np.random.default_rng(5)
     hashes = lambda n: np.unique(jaccard.mixed(rng.integers(0, 2**63, n).astype(np.uint64)))
+    tried = 0
     for _ in range(1500):
-        a = hashes(int(rng.integers(10, 400)))
-        b = np.union1d(rng.permutation(a)[int(rng.integers(0, len(a) // 18 + 1)) :], hashes(int(rng.integers(0, len(a) // 18 + 1))))
+        a = hashes(int(rng.integers(4, 400)))
+        most = len(a) * (100 - measure.percent) // 180 + 1
+        b = np.union1d(rng.permutation(a)[int(rng.integers(0, most + 1)) :], hashes(int(rng.integers(0, most + 1))))
         shared = len(np.intersect1d(a, b))
-        if jaccard.linked(shared, len(a), len(b)) and len(np.setxor1d(a, b)):
-            assert len(np.intersect1d(jaccard.cells(a), jaccard.cells(b)))
+        if measure.linked(shared, len(a), len(b)) and len(np.setxor1d(a, b)):
+            tried += 1
+            assert len(np.intersect1d(jaccard.cells(a, measure), jaccard.cells(b, measure)))
+    assert tried > 300
 
 
-def test_region_is_exact(monkeypatch):
-    monkeypatch.setattr(jaccard, "LEAF_ROWS", 8)
+@pytest.mark.parametrize("measure", MEASURES)
+@pytest.mark.parametrize("leaf", [8, 10_000])
+def test_region_is_exact(monkeypatch, leaf, measure):
+    monkeypatch.setattr(jaccard, "LEAF_ROWS", leaf)
     rng = random.Random(2)
     hashes = jaccard.WordHashes()
     base = [" ".join(f"w{rng.randrange(5000)}" for _ in range(90)) for _ in range(6)]
-    rows = [t for b in base for t in family(rng, b, 60, 12)]
-    sets = {jaccard.set_id(s): s for s in (jaccard.shingle_set(t, hashes) for t in rows)}
+    rows = [t for b in base for t in family(rng, b, 60, 12)] + [base[0] + " " + x for x in base]
+    sets = {jaccard.set_id(s)[0]: s for s in (jaccard.shingle_set(t, hashes, measure.words) for t in rows)}
     ids = np.array(sorted(sets))
-    own, root = jaccard.join_region(ids, [sets[i] for i in ids.tolist()])
+    own, root = jaccard.join_region(ids, [sets[i] for i in ids.tolist()], measure)
     component = dict(zip(ids.tolist(), ids.tolist())) | dict(zip(own.tolist(), root.tolist()))
     want = {i: i for i in ids.tolist()}
     for a in ids.tolist():
         for b in ids.tolist():
-            if a < b and jaccard.linked(len(np.intersect1d(sets[a], sets[b])), len(sets[a]), len(sets[b])):
+            if a < b and measure.linked(len(np.intersect1d(sets[a], sets[b])), len(sets[a]), len(sets[b])):
                 lo, hi = sorted((want[a], want[b]))
                 want = {k: lo if v == hi else v for k, v in want.items()}
     assert component == want
@@ -104,13 +151,26 @@ def test_region_is_exact(monkeypatch):
 
 def test_known_components_are_kept():
     sets = [np.array(x, np.uint64) for x in ([1, 2, 3], [7, 8], [20, 21], [7, 8, 9])]
-    own, root = jaccard.join_region(np.array([4, 3, 2, 1]), sets, np.array([5, -1, 5, -1]))
+    own, root = jaccard.join_region(np.array([4, 3, 2, 1]), sets, jaccard.Measure(3, 90), np.array([5, -1, 5, -1]))
     assert dict(zip(own.tolist(), root.tolist())) == {4: 2}
 
 
+def test_stars():
+    cell, least, links = jaccard.stars(np.array([5, 9, 5, 5, 9, 7], np.uint64), np.array([3, 2, 1, 3, 2, 8]))
+    assert cell.tolist() == [5, 7, 9] and least.tolist() == [1, 8, 2] and links.tolist() == [[3, 1]]
+
+
+def test_linked_pivots_are_one_hub():
+    sets = [np.arange(a, a + 100) for a in (0, 5, 10, 500)]
+    found = jaccard.Pivots([7, 4, 9, 2], sets, [None, None, 3, None], jaccard.Measure(3, 90))
+    assert found.hubs == [3, 3, 3, 2]
+    assert found.place(np.arange(12, 112))[1] == 3 and found.place(np.arange(900, 1000))[1] is None
+
+
 def test_blocks_of_a_region_that_does_not_shrink(spark, monkeypatch):
     """Every two documents of different hubs (or of none) meet in a block pair, and no pair is over the bound by more than its blocks' spread."""
-    monkeypatch.setattr(jaccard, "REGION_SHINGLES", 2000)
+    monkeypatch.setattr(jaccard, "BLOCK_WEIGHT", 2000)
+    monkeypatch.setattr(jaccard, "ROW_WEIGHT", 0)
     rows = [(7, i, 20, None if i % 3 == 0 else i % 3, [i]) for i in range(300)] + [(8, 1000 + i, 20, 5, [i]) for i in range(300)]
     df = spark.createDataFrame(rows, "region long, cid long, n long, hub long, shingles array<long>")
     groups = {}
@@ -122,21 +182,52 @@ def test_blocks_of_a_region_that_does_not_shrink(spark, monkeypatch):
     assert max(map(len, groups.values())) * 20 <= 1.6 * 2000
 
 
-def test_against_brute(spark, monkeypatch):
+def odd_rows():
     rows = [(i * 7 % 1009, t) for i, t in enumerate(texts())]
-    rows += [(2000, None), (None, rows[200][1]), (None, "only here without id at all"), (rows[300][0], rows[300][1]), (2001, rows[300][1].upper()), (2002, "long " * 30000), (2003, "x" * 100000)]
+    return rows + [(2000, None), (None, rows[200][1]), (None, "only here without id at all"), (rows[300][0], rows[300][1]), (2001, rows[300][1].upper()), (2002, "long " * 30000), (2003, "x" * 100000)]
+
+
+def test_against_brute(spark, monkeypatch):
+    rows = odd_rows()
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_shingles", F.lit("clash"))
     want = brute(rows)
-    for limit in (jaccard.REGION_SHINGLES, 8000, 700):
-        monkeypatch.setattr(jaccard, "REGION_SHINGLES", limit)
-        got = jaccard.jaccard_groups(df, "doc_id", "text").collect()
+    for region, block, held in ((jaccard.REGION_WEIGHT, jaccard.BLOCK_WEIGHT, jaccard.HELD_CELLS), (8000, 8000, 500), (2000, 700, 1)):
+        monkeypatch.setattr(jaccard, "REGION_WEIGHT", region)
+        monkeypatch.setattr(jaccard, "BLOCK_WEIGHT", block)
+        monkeypatch.setattr(jaccard, "HELD_CELLS", held)
+        got = jaccard.jaccard_groups(df, "doc_id", "text", jaccard.Measure(3, 90)).collect()
         assert sorted(repr(tuple(r)) for r in got) == want
-    kept = jaccard.keep_one_of_each(df, "doc_id", "text")
-    assert kept.columns == df.columns
-    assert {r.doc_id for r in kept.collect()} == {r.component_id for r in got} | {None}
     assert jaccard.jaccard_groups(df.limit(0), "doc_id", "text").count() == 0
 
 
+def test_keep_one_against_brute(spark, monkeypatch):
+    """One row of each component: of repeated rows, of texts that share an id, and of rows without id."""
+    t = texts()[200]
+    rows = odd_rows() + [(None, "only here without id at all"), (None, None), (None, ""), (5000, "one text here under an id"), (5000, t), (4999, t + " more"), (5001, "five words are not many"), (5001, "five words are not many")]
+    df = spark.createDataFrame([(d, x, i) for i, (d, x) in enumerate(rows)], "`doc.id` long, `the text` string, k1 int").withColumns({"k": F.lit("clash"), "n": F.lit(None).cast("int")})
+    for region in (jaccard.REGION_WEIGHT, 3000):
+        monkeypatch.setattr(jaccard, "REGION_WEIGHT", region)
+        kept = jaccard.keep_one_of_each(df, "doc.id", "the text")
+        assert kept.columns == df.columns
+        got = kept.collect()
+        assert sorted(repr(r["doc.id"]) for r in got) == brute_kept(rows)
+        assert len({r.k1 for r in got}) == len(got) and all(tuple(r)[:2] == rows[r.k1] for r in got)
+        assert len([r for r in got if r["doc.id"] == 5001]) == 1
+    assert jaccard.keep_one_of_each(df.limit(0), "doc.id", "the text").count() == 0
+
+
+def test_one_row_of_what_the_verdict_names(spark):
+    """Repeated rows under one id, and a row of another's group whose id is the smallest of some other group."""
+    t, u = "the first of two texts that have nothing to do with each other", "here stands quite another one with words of its own and no more"
+    frame = lambda rows: spark.createDataFrame(rows, "id long, text string")
+    keep = lambda rows: sorted(map(tuple, jaccard.keep_one_of_each(frame(rows), "id", "text").collect()), key=repr)
+    assert keep([(1, t), (1, t), (2, t)]) == [(1, t)]
+    assert keep([(0, u), (1, u), (1, t), (2, t)]) == [(0, u), (1, t)]
+    assert keep([(None, t), (None, t), (None, u), (3, u)]) == [(3, u), (None, t)]
+    with_map = frame([(1, t), (1, t)]).withColumn("m", F.create_map(F.lit("a"), F.lit(1)))
+    assert jaccard.keep_one_of_each(with_map, "id", "text").count() == 1
+
+
 def test_query(spark):
     folder = "/root/testdata/sf0.01"
     rows = [(r.doc_id, r.text) for r in queries.table(spark, folder, "documents").collect()]
