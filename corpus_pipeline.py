@@ -4,7 +4,8 @@ Each stage works on all that its predecessor kept: documents of low quality or t
 of near copies stays, documents that hold a benchmark item go, and the rest is encoded.
 
 Contract: the first three stages return the columns of their input, extra ones included, and never drop a row without an id
-for its lack of one.  An empty table passes through; without labels the classifier keeps every document.
+for its lack of one.  Rows that repeat (id and text, or text alone) are one group of copies: one of them stays after the second stage.  Rows without words are in
+no group.  An empty table passes through; without labels the classifier keeps every document.
 """
 
 from __future__ import annotations
@@ -12,7 +13,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from eventlake.llm import bpe, decontaminate, jaccard, quality, queries
-from eventlake.llm.rows import materialize
+from eventlake.llm.rows import materialize, release
+
+NEAR_COPIES = jaccard.Measure(words=5, percent=80)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,8 +24,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies (operator 6)."""
-    return jaccard.keep_one_of_each(docs, "doc_id", "text")
+    """The document with the smallest id of each group of near copies (operator 6): five words a shingle, a similarity of 0.8 or more."""
+    return jaccard.keep_one_of_each(docs, "doc_id", "text", NEAR_COPIES)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,5 +53,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = queries.table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        release(before)
     return STAGES[-1][1](spark, docs, sf_dir)
