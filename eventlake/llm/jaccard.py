@@ -3,14 +3,17 @@ r"""N-gram Jaccard join of whole documents (operator 6): regions of a metric spa
 ``Measure`` holds the words of a shingle and the least similarity in per cent.  Equal shingle sets are one class.  Classes link
 when 100 * intersection >= percent * union, that is at a Jaccard distance of at most ``radius`` = 1 - percent / 100.
 
-Top level.  Unrelated documents are all at distance 1 from any document taken as pivot, so Voronoi cells around documents would put the corpus
-in one cell (the README has figures).  The first pivots are therefore taken in restrictions of the space: the shingle hashes are cut into
-blocks, and each restriction of a set to a block is the pivot of a cell of its own (distance 0).  A linked pair
-differs in at most radius / (1 - radius) of the smaller set, so with more blocks than that it shares a cell; a document enters the cells of its own
-size class and the next, which is how boundary documents are replicated.  Blocks of under ``SPARSE`` shingles are left out where the spare
-blocks allow it.  A task keeps one set of each cell and links the others to it at once, so a cell that very many sets share reaches its bucket once a task.
-
-Regions are the components of shared cells.  A region takes documents as pivots: each document belongs to its nearest pivot's
+Top level.  Unrelated documents are all at distance 1 from any document taken as pivot, so Voronoi cells around sampled documents would put
+the corpus in one cell (the README has figures).  The first pivots are therefore single shingles, each the centre of the cell of all sets that hold it, and a set enters
+few of them: in any one order of all shingles, two linked sets share one of their first n - ceil(percent * n / 100) + 1.  The
+order is by the number of sets that hold a shingle, counted over the whole corpus up to ``COMMON``; shingles of a single set make no cell, so a document whose own ones
+are that many is near to nothing and leaves here.  Passages that many documents share come last in the order.
+
+Counting: a task sends its sets' shingles to buckets in flights of ``HELD`` shingles; a bucket answers each flight with the shingles that other sets hold too, and a flight
+(a bounded group) picks the cells of its sets.  Of a shingle that very many sets of a flight hold, ``COMMON`` + 1 are sent, which is all a bucket needs to know.
+Cells are combined in the same way: a flight keeps one set of each cell and links the others to it.
+
+Regions are the components of cells that sets share.  A region takes documents as pivots: each document belongs to its nearest pivot's
 Voronoi region and, by the triangle inequality, is replicated to every region whose pivot is not more than
 two radii farther.  Regions are parted again until they are small or parting saves no work, then joined exactly; pairs already in one
 component need no check, and of the others only those that share one of their rarest shingles of the region can link.
@@ -24,14 +27,13 @@ null) has an empty set and links with nothing.  ``jaccard_groups``: each row giv
 component is the smallest id reachable, if any, and a set that only such rows have links with nothing else.  Other columns are not read.
 ``keep_one_of_each``: of every component one row stays, the one with the smallest id (rows without id last, then by a hash of id and text;
 of rows equal in both the least of the other columns); rows without words are in no group and all stay.  Ids are integers.
-Shingles are compared by 64-bit hashes, whole sets by 128 bits.
+Shingles are compared by 64-bit hashes, whole sets by 128 bits.  A repeated task must see its rows in the same order, as it does in files.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -44,22 +46,22 @@ from eventlake.llm.components import components
 from eventlake.llm.rows import map_texts, materialize, slices
 from eventlake.llm.url_filter import bit_array, passes
 
-SPARSE = 2
 PIVOTS = 8
 LEAF_ROWS = 256
 SHRINK = 0.8
 #: Weights are shingles plus ``ROW_WEIGHT`` for each document.
 ROW_WEIGHT = 256
 REGION_WEIGHT = 1 << 18
-BLOCK_WEIGHT = 1 << 20
+BLOCK_WEIGHT = 1 << 23
+BLOCKS = 32
 LEAST_BUCKETS = 256
 BUCKET_BYTES = 4 << 20
-#: Cells that a task holds before it links and sends them.
-HELD_CELLS = 1 << 20
+#: Shingles, and sets, of a flight; and the count from which shingles are equally common.
+HELD, HELD_SETS = 1 << 20, 60_000
+COMMON = 16
 FILTER_BITS = 1 << 28
 CACHED_WORDS = 400_000
 EPSILON = 1e-9
-_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 # --- sets ------------------------------------------------------------------------------------------------------------
@@ -79,10 +81,6 @@ class Measure:
         """Greatest size that can link with a set of this size."""
         return size * 100 // self.percent
 
-    def differ(self, size: int) -> int:
-        """Shingles in which two linked sets can differ, the smaller having this size."""
-        return size * (100 - self.percent) // self.percent
-
     def prefix(self, size: int) -> int:
         """Of how many first shingles, in any common order, two linked sets share one."""
         return size - -(-size * self.percent // 100) + 1
@@ -91,17 +89,6 @@ class Measure:
     def window(self) -> float:
         return 2 * (100 - self.percent) / 100 + EPSILON
 
-    @cached_property
-    def bounds(self) -> np.ndarray:
-        """First sizes of the size classes: a linked pair's classes are equal or neighbours."""
-        bounds = [1]
-        while bounds[-1] <= 1 << 40:
-            bounds.append(self.longest(bounds[-1]) + 1)
-        return np.array(bounds)
-
-    def __getstate__(self):
-        return {"words": self.words, "percent": self.percent}
-
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit integers."""
@@ -144,29 +131,49 @@ def set_id(shingles: np.ndarray) -> tuple[int, int]:
 # --- cells -----------------------------------------------------------------------------------------------------------
 
 
-def cells(shingles: np.ndarray, measure: Measure) -> np.ndarray:
-    """Cells (64-bit) that a set enters."""
-    n = len(shingles)
-    own = int(np.searchsorted(measure.bounds, n, "right")) - 1
-    out = []
-    for group in (own, own + 1):
-        differ = measure.differ(int(measure.bounds[group + 1] - 1))
-        if not differ:
-            continue
-        spare = max(1, differ // 16)
-        blocks = differ + 1 + spare
-        # Sets are sorted, so blocks of the upper hash half are runs.
-        block = (shingles >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)
-        edges = np.searchsorted(block, np.arange(blocks + 1, dtype=np.uint64))
-        count = np.diff(edges)
-        full = np.flatnonzero(count)
-        sums = np.zeros(blocks, np.uint64)
-        sums[full] = np.add.reduceat(mixed(shingles + np.uint64(1)), edges[full])
-        sparse = count < SPARSE
-        # Of spare + 1 equal blocks at least one is not sparse, unless a set has more sparse ones; such a set enters them all.
-        entered = np.arange(blocks) if sparse.sum() > spare else np.flatnonzero(~sparse)
-        out.append(mixed(sums[entered] + entered.astype(np.uint64) * _ODD + mixed(np.array([group + 1], np.uint64))))
-    return np.concatenate(out) if out else np.empty(0, np.uint64)
+def flight(sets: list[np.ndarray], buckets: int) -> tuple[list[tuple[int, bytes, bytes]], tuple[np.ndarray, np.ndarray]]:
+    """What a task sends of some sets: (bucket, rests of the shingles, owners) for each bucket, and (owners, shingles) of common ones that it keeps back.
+
+    A shingle is known by its bucket and 32 bits more: bucket + rest * buckets is its number.
+    """
+    flat = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(s) for s in sets])
+    where, rest = (flat % np.uint64(buckets)).astype(np.uint32), (flat // np.uint64(buckets)).astype(np.uint32)
+    order = np.lexsort((owner, rest, where))
+    where, rest, owner = where[order], rest[order], owner[order]
+    first = np.flatnonzero(np.append(True, (where[1:] != where[:-1]) | (rest[1:] != rest[:-1])))
+    place = np.arange(len(rest)) - np.repeat(first, np.diff(np.append(first, len(rest))))
+    back = place > COMMON
+    kept = owner[back], where[back] + rest[back].astype(np.uint64) * np.uint64(buckets)
+    where, rest, owner = where[~back], rest[~back], owner[~back]
+    at = np.flatnonzero(np.append(True, where[1:] != where[:-1]))
+    parts = zip(where[at].tolist(), at.tolist(), np.append(at[1:], len(where)).tolist())
+    return [(w, rest[i:j].tobytes(), owner[i:j].tobytes()) for w, i, j in parts], kept
+
+
+def shared(flights: np.ndarray, rests: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which entries of a bucket are of a shingle that another set holds too, and in how many sets it is (``COMMON`` + 1 at most)."""
+    order = np.lexsort((owners, flights, rests))
+    f, r, o = flights[order], rests[order], owners[order]
+    new = np.append(True, r[1:] != r[:-1])
+    holder = np.append(True, (f[1:] != f[:-1]) | (o[1:] != o[:-1])) | new
+    group = np.cumsum(new) - 1
+    count = np.bincount(group, weights=holder).astype(np.int64)[group]
+    at = order[count > 1]
+    return at, np.minimum(count[count > 1], COMMON + 1).astype(np.uint8)
+
+
+def chosen_cells(measure: Measure, sizes: np.ndarray, owners: np.ndarray, numbers: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cells and owners: of each set the first shared shingles that its unshared ones leave room for in the prefix."""
+    prefix = sizes - -(-sizes * measure.percent // 100) + 1
+    wanted = prefix - (sizes - np.bincount(owners, minlength=len(sizes)))
+    some = wanted[owners] > 0
+    owners, numbers, counts = owners[some], numbers[some], counts[some]
+    order = np.lexsort((numbers, counts, owners))
+    owners, numbers = owners[order], numbers[order]
+    first = np.searchsorted(owners, np.arange(len(sizes)))
+    keep = np.arange(len(owners)) - first[owners] < wanted[owners]
+    return mixed(numbers[keep]), owners[keep]
 
 
 def stars(cell: np.ndarray, cid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -320,8 +327,17 @@ def _buckets(df: DataFrame) -> int:
     return int(min(1 << 20, max(LEAST_BUCKETS, size // BUCKET_BYTES)))
 
 
-_DIGEST = "id long, k1 long, k2 long, cid long, chk long, n long, pivot long"
-_DIGEST_ARROW = [(name, pa.int64()) for name in ("id", "k1", "k2", "cid", "chk", "n", "pivot")]
+_ROW = [("id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("cid", pa.int64()), ("chk", pa.int64()), ("n", pa.int64()), ("flight", pa.int64()), ("at", pa.int32())]
+_PACK = [("numbers", pa.binary()), ("owners", pa.binary()), ("counts", pa.binary())]
+_DDL = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary"}
+
+
+def _ddl(fields: list[tuple[str, pa.DataType]]) -> str:
+    return ", ".join(f"{name} {_DDL[kind]}" for name, kind in fields)
+
+
+def _batch(fields: list[tuple[str, pa.DataType]], size: int, columns: dict) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(columns[n], k) if n in columns else pa.nulls(size, k) for n, k in fields], schema=pa.schema(fields))
 
 
 def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -331,72 +347,120 @@ def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(one.alias("id"), hashed(1).alias("k1"), hashed(2).alias("k2"), text.alias("text"))
 
 
-def sets_and_cells(df: DataFrame, id_col: str, text_col: str, measure: Measure) -> DataFrame:
-    """Rows of two kinds: id, k1, k2, cid, chk, n of each document (pivot null), and cid, pivot (the least cid) of shared cells."""
+def counted_sets(df: DataFrame, id_col: str, text_col: str, measure: Measure) -> DataFrame:
+    """Rows of two kinds: a document's (owners null), where ``flight`` and ``at`` say that its set took part as the at-th of a flight; and answers to a
+    flight: shingle numbers, owners and counts of what its sets share with others."""
     buckets = _buckets(df)
-    schema = pa.schema([("bucket", pa.int32()), *_DIGEST_ARROW, ("cells", pa.binary()), ("cids", pa.binary())])
-
-    def batch_of(size: int, **columns) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(size, f.type) for f in schema], schema=schema)
+    sent, done = [("bucket", pa.int32()), *_ROW, *_PACK], [*_ROW, *_PACK]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, entered, row = WordHashes(), set(), 0
-        held: list[tuple[np.ndarray, int]] = []
+        rows: dict[str, list] = {name: [] for name, _ in _ROW}
+        held: list[np.ndarray] = []
         size = 0
 
         def send() -> Iterator[pa.RecordBatch]:
-            nonlocal size
-            flat = np.concatenate([c for c, _ in held])
-            cell, cid, links = stars(flat, np.repeat(np.array([i for _, i in held], np.int64), [len(c) for c, _ in held]))
+            nonlocal size, row
+            n = len(rows["id"])
+            ids = np.array([c for c, at in zip(rows["cid"], rows["at"]) if at is not None], np.int64)
+            name = set_id(ids.view(np.uint64))[0]
+            rows["flight"] = [None if at is None else name for at in rows["at"]]
+            yield _batch(sent, n, rows | {"bucket": ((row + np.arange(n)) % buckets).astype(np.int32)})
+            row += n
+            if held:
+                packs, (owners, numbers) = flight(held, buckets)
+                m = len(packs)
+                yield _batch(sent, m, {"bucket": [p[0] for p in packs], "flight": [name] * m, "numbers": [p[1] for p in packs], "owners": [p[2] for p in packs]})
+                if len(owners):
+                    counts = np.full(len(owners), COMMON + 1, np.uint8).tobytes()
+                    yield _batch(sent, 1, {"bucket": [row % buckets], "flight": [name], "numbers": [numbers.tobytes()], "owners": [owners.tobytes()], "counts": [counts]})
+            for values in rows.values():
+                values.clear()
             held.clear()
             size = 0
-            where = (cell % np.uint64(buckets)).astype(np.int32)
-            order = np.argsort(where, kind="stable")
-            rest, cid, where = (cell // np.uint64(buckets)).astype(np.uint32)[order], cid[order], where[order]
-            at = np.flatnonzero(np.diff(where, prepend=-1))
-            parts = list(zip(at.tolist(), np.append(at[1:], len(where)).tolist()))
-            yield batch_of(len(at), bucket=where[at], cells=[rest[a:b].tobytes() for a, b in parts], cids=[cid[a:b].tobytes() for a, b in parts])
-            if len(links):
-                yield batch_of(len(links), bucket=np.arange(len(links), dtype=np.int32) % buckets, cid=links[:, 0], pivot=links[:, 1])
 
         for batch in batches:
             for few in slices(batch, "text"):
-                ids, sizes = [], []
-                for text in few.column("text").to_pylist():
+                for key, text in zip(zip(*(few.column(c).to_pylist() for c in ("id", "k1", "k2"))), few.column("text").to_pylist()):
                     shingles = shingle_set(text, hashes, measure.words)
-                    own = set_id(shingles) if len(shingles) else (None, None)
-                    ids.append(own)
-                    sizes.append(len(shingles))
-                    if own[0] is not None and own[0] not in entered:
+                    own, at = (set_id(shingles) if len(shingles) else (None, None)), None
+                    if own[0] is not None and own not in entered:
                         if len(entered) >= CACHED_WORDS:
                             entered.clear()
-                        entered.add(own[0])
-                        mine = cells(shingles, measure)
-                        if len(mine):
-                            held.append((mine, own[0]))
-                            size += len(mine)
-                n = few.num_rows
-                spread = (row + np.arange(n)) % buckets
-                row += n
-                yield batch_of(n, bucket=spread.astype(np.int32), id=few.column("id"), k1=few.column("k1"), k2=few.column("k2"), cid=[i[0] for i in ids], chk=[i[1] for i in ids], n=sizes)
-                if size >= HELD_CELLS:
-                    yield from send()
-        if held:
+                        entered.add(own)
+                        at = len(held)
+                        held.append(shingles)
+                        size += len(shingles)
+                    for name, value in zip(("id", "k1", "k2", "cid", "chk", "n", "at"), (*key, *own, len(shingles), at)):
+                        rows[name].append(value)
+                    if size >= HELD or len(rows["id"]) >= HELD_SETS:
+                        yield from send()
+        if rows["id"]:
             yield from send()
 
+    def answer(table: pa.Table) -> Iterator[pa.Table]:
+        asks = pc.and_(pc.is_null(table.column("counts")), pc.is_valid(table.column("owners")))
+        rest = table.filter(pc.invert(asks)).drop_columns(["bucket"])
+        if rest.num_rows:
+            yield rest
+        bucket, first = table.column("bucket")[0].as_py(), {}
+        for name, numbers, owners in zip(*(table.filter(asks).column(c).to_pylist() for c in ("flight", "numbers", "owners"))):
+            first[name] = numbers, owners  # flights of one name are the same sets
+        if not first:
+            return
+        names = np.array(list(first), np.int64)
+        rests = np.frombuffer(b"".join(x[0] for x in first.values()), np.uint32)
+        owners = np.frombuffer(b"".join(x[1] for x in first.values()), np.uint16)
+        of = np.repeat(np.arange(len(names)), [len(x[1]) // 2 for x in first.values()])
+        at, counts = shared(of, rests, owners)
+        order = np.argsort(at, kind="stable")
+        at, counts = at[order], counts[order]
+        cuts = np.searchsorted(of[at], np.arange(len(names) + 1)).tolist()
+        numbers = np.uint64(bucket) + rests[at].astype(np.uint64) * np.uint64(buckets)
+        some = [i for i in range(len(names)) if cuts[i + 1] > cuts[i]]
+        parts = [slice(cuts[i], cuts[i + 1]) for i in some]
+        yield pa.Table.from_batches([_batch(done, len(some), {"flight": names[some], "numbers": [numbers[p].tobytes() for p in parts], "owners": [owners[at[p]].tobytes() for p in parts], "counts": [counts[p].tobytes() for p in parts]})])
+
+    def answered(table: pa.Table) -> pa.Table:
+        return pa.concat_tables(answer(table))
+
+    dealt = _keyed(df, id_col, text_col).mapInArrow(work, _ddl(sent))
+    return materialize(dealt.groupBy("bucket").applyInArrow(answered, _ddl(done)), "jaccard-counts")
+
+
+def candidate_links(found: DataFrame, measure: Measure, buckets: int) -> DataFrame:
+    """a, b: links of sets (cids) that connect the members of each cell."""
+    cell = [("bucket", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("cells", pa.binary()), ("cids", pa.binary())]
+
+    def choose(table: pa.Table) -> pa.Table:
+        packs = table.filter(pc.is_valid(table.column("owners")))
+        unique = {(n, o): c for n, o, c in zip(*(packs.column(c).to_pylist() for c in ("numbers", "owners", "counts")))}
+        sets = table.filter(pc.is_valid(table.column("at")))
+        at = sets.column("at").to_numpy()
+        sizes, cids = np.zeros(int(at.max()) + 1 if len(at) else 0, np.int64), np.zeros(int(at.max()) + 1 if len(at) else 0, np.int64)
+        sizes[at], cids[at] = sets.column("n").to_numpy(), sets.column("cid").to_numpy()
+        owners = np.frombuffer(b"".join(k[1] for k in unique), np.uint16).astype(np.int64)
+        numbers, counts = np.frombuffer(b"".join(k[0] for k in unique), np.uint64), np.frombuffer(b"".join(unique.values()), np.uint8)
+        cells, of = chosen_cells(measure, sizes, owners, numbers, counts)
+        cells, least, links = stars(cells, cids[of])
+        where = (cells % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(where, kind="stable")
+        cells, least, where = cells[order], least[order], where[order]
+        at = np.flatnonzero(np.diff(where, prepend=-1))
+        parts = list(zip(at.tolist(), np.append(at[1:], len(where)).tolist()))
+        packed = _batch(cell, len(parts), {"bucket": where[at], "cells": [cells[i:j].tobytes() for i, j in parts], "cids": [least[i:j].tobytes() for i, j in parts]})
+        direct = _batch(cell, len(links), {"bucket": (np.arange(len(links)) % buckets).astype(np.int32), "a": links[:, 0], "b": links[:, 1]})
+        return pa.Table.from_batches([packed, direct])
+
     def meet(table: pa.Table) -> pa.Table:
-        names = [n for n, _ in _DIGEST_ARROW]
-        done = table.filter(pc.is_null(table.column("cells"))).select(names)
         packed = table.filter(pc.is_valid(table.column("cells")))
-        if not packed.num_rows:
-            return done
-        cell = np.frombuffer(b"".join(packed.column("cells").to_pylist()), np.uint32)
-        links = stars(cell, np.frombuffer(b"".join(packed.column("cids").to_pylist()), np.int64))[2]
-        more = {"cid": pa.array(links[:, 0]), "pivot": pa.array(links[:, 1])}
-        return pa.concat_tables([done, pa.table([more[n] if n in more else pa.nulls(len(links), pa.int64()) for n in names], names=names)])
+        cells, cids = (np.frombuffer(b"".join(packed.column(c).to_pylist()), kind) for c, kind in (("cells", np.uint64), ("cids", np.int64)))
+        links = stars(cells, cids)[2]
+        direct = table.filter(pc.is_valid(table.column("a"))).select(["a", "b"])
+        return pa.concat_tables([direct, pa.table({"a": links[:, 0], "b": links[:, 1]})])
 
-    dealt = _keyed(df, id_col, text_col).mapInArrow(work, f"bucket int, {_DIGEST}, cells binary, cids binary")
-    return materialize(dealt.groupBy("bucket").applyInArrow(meet, _DIGEST), "jaccard-cells")
+    asked = found.where("flight IS NOT NULL").select("flight", "at", "cid", "n", "numbers", "owners", "counts")
+    return asked.groupBy("flight").applyInArrow(choose, _ddl(cell)).groupBy("bucket").applyInArrow(meet, "a long, b long")
 
 
 def _weight():
@@ -436,12 +500,14 @@ def _split(sets: DataFrame, measure: Measure) -> DataFrame:
 
 
 def _blocks(stuck: DataFrame) -> DataFrame:
-    """Regions that parting does not help, dealt into blocks of at most half the bound that meet two by two.
+    """Regions that parting does not help, dealt into about ``BLOCKS`` blocks, none over half of ``BLOCK_WEIGHT``, that meet two by two.
 
     Documents of one hub are in one component, so blocks of one hub do not meet; a region whose documents all have one hub ends here.
     """
-    count = F.ceil(_weight() / F.lit(max(1, BLOCK_WEIGHT // 2))).cast("int")
-    dealt = materialize(stuck.groupBy("region", "hub").agg(count.alias("count")), "jaccard-blocks")
+    whole = F.sum("weight").over(Window.partitionBy("region"))  # a row for each region and hub
+    block = F.least(F.greatest(whole / BLOCKS, F.lit(REGION_WEIGHT / 2)), F.lit(BLOCK_WEIGHT / 2))
+    weights = stuck.groupBy("region", "hub").agg(_weight().alias("weight"))
+    dealt = materialize(weights.select("region", "hub", F.ceil(F.col("weight") / block).cast("int").alias("count")), "jaccard-blocks")
     others = dealt.select(F.col("region").alias("in_region"), F.col("hub").alias("other"), F.col("count").alias("parts"))
     own = stuck.join(dealt.select(F.col("region").alias("its_region"), F.col("hub").alias("its_hub"), "count"), (stuck.region == F.col("its_region")) & stuck.hub.eqNullSafe(F.col("its_hub"))).select(stuck["*"], "count")
     own = own.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("count")))
@@ -499,18 +565,22 @@ def _join_regions(sets: DataFrame, measure: Measure) -> DataFrame:
     return out
 
 
+def _documents(found: DataFrame) -> DataFrame:
+    return found.where("owners IS NULL").select("id", "k1", "k2", "cid", "chk", "n")
+
+
 def _classes(found: DataFrame, measure: Measure, df: DataFrame, id_col: str, text_col: str, without_ids: bool) -> DataFrame:
     """cid, chk, component (a node of the class's component), first_id, k1, k2 (its first row's) and rows, one row for each distinct set that takes part.
 
     ``without_ids``: whether sets that only rows without id have take part.
     """
-    rows = found.where("pivot IS NULL AND cid IS NOT NULL")
+    rows = _documents(found).where("cid IS NOT NULL")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2"))
     classes = rows.groupBy("cid", "chk").agg(first.alias("x")).select("cid", "chk", F.col("x.id").alias("first_id"), "x.k1", "x.k2")
     if not without_ids:
         classes = classes.where("first_id IS NOT NULL")
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "jaccard-classes")
-    near = components(found.where("pivot IS NOT NULL").select(F.col("cid").alias("a"), F.col("pivot").alias("b")))
+    near = components(materialize(candidate_links(found, measure, _buckets(df)), "jaccard-candidates"))
     needed = materialize(classes.join(near.select(F.col("node").alias("cid"), F.col("component").alias("region")), "cid").select("region", "node", "k1", "k2"), "jaccard-needed")
 
     # A Bloom filter keeps other documents out of the shuffle; what it lets through by mistake, the join drops.
@@ -541,11 +611,11 @@ def _may_be(rows: DataFrame, key: str, wanted: DataFrame, yes: bool = True) -> D
 
 def jaccard_groups(df: DataFrame, id_col: str, text_col: str, measure: Measure = Measure()) -> DataFrame:
     """id, n_shingles, component_id."""
-    found = sets_and_cells(df, id_col, text_col, measure)
+    found = counted_sets(df, id_col, text_col, measure)
     placed = materialize(_classes(found, measure, df, id_col, text_col, False), "jaccard-placed")
     smallest = placed.groupBy("component").agg(F.min("first_id").alias("component_id"))
     per_class = placed.join(smallest, "component").select("cid", "chk", "component_id")
-    rows = found.where("pivot IS NULL")
+    rows = _documents(found)
     full = rows.where("cid IS NOT NULL").join(per_class, ["cid", "chk"], "left").select("id", "n", "component_id")
     empty = rows.where("cid IS NULL").select("id", "n", F.col("id").alias("component_id"))
     return full.unionByName(empty).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
@@ -553,11 +623,11 @@ def jaccard_groups(df: DataFrame, id_col: str, text_col: str, measure: Measure =
 
 def keep_one_of_each(df: DataFrame, id_col: str, text_col: str, measure: Measure = Measure()) -> DataFrame:
     """One row of each component, with all its columns, and every row without words."""
-    found = sets_and_cells(df, id_col, text_col, measure)
+    found = counted_sets(df, id_col, text_col, measure)
     placed = materialize(_classes(found, measure, df, id_col, text_col, True), "jaccard-placed")
     best = placed.groupBy("component").agg(F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "k1", "k2")).alias("x"))
     per_class = placed.select("cid", "chk", "component").join(best, "component").select("cid", "chk", F.col("x.k1").alias("b1"), F.col("x.k2").alias("b2"))
-    keys = found.where("pivot IS NULL AND cid IS NOT NULL").groupBy("cid", "chk", "k1", "k2").agg(F.count("*").alias("copies"))
+    keys = _documents(found).where("cid IS NOT NULL").groupBy("cid", "chk", "k1", "k2").agg(F.count("*").alias("copies"))
     stays = (F.col("k1") == F.col("b1")) & (F.col("k2") == F.col("b2"))
     # All other rows are the only ones of their key and the first of their component.
     doubtful = materialize(keys.join(per_class, ["cid", "chk"]).select("k1", "k2", stays.alias("stays"), "copies").where("NOT stays OR copies > 1").drop("copies"), "jaccard-doubtful")

@@ -111,21 +111,51 @@ def texts():
 MEASURES = [jaccard.Measure(3, 90), jaccard.Measure(5, 80), jaccard.Measure(2, 95)]
 
 
+@pytest.mark.parametrize("common", [1, 3, 16])
 @pytest.mark.parametrize("measure", MEASURES)
-def test_cells_hold_every_link(measure):
-    """Of each linked pair, at least one cell is shared."""
-    rng = np.random.default_rng(5)
+def test_cells_hold_every_link(monkeypatch, measure, common):
+    """Sets in flights, counted in buckets: every linked pair shares a cell, and sets without partner mostly have none."""
+    monkeypatch.setattr(jaccard, "COMMON", common)
+    rng, buckets = np.random.default_rng(5), 7
     hashes = lambda n: np.unique(jaccard.mixed(rng.integers(0, 2**63, n).astype(np.uint64)))
-    tried = 0
-    for _ in range(1500):
-        a = hashes(int(rng.integers(4, 400)))
-        most = len(a) * (100 - measure.percent) // 180 + 1
-        b = np.union1d(rng.permutation(a)[int(rng.integers(0, most + 1)) :], hashes(int(rng.integers(0, most + 1))))
-        shared = len(np.intersect1d(a, b))
-        if measure.linked(shared, len(a), len(b)) and len(np.setxor1d(a, b)):
-            tried += 1
-            assert len(np.intersect1d(jaccard.cells(a, measure), jaccard.cells(b, measure)))
-    assert tried > 300
+    passages = [hashes(30) for _ in range(3)]
+    sets = []
+    for _ in range(120):
+        a = hashes(int(rng.integers(1, 300)))
+        if rng.integers(2):
+            a = np.union1d(a, passages[int(rng.integers(3))])
+        sets.append(a)
+        for _ in range(int(rng.choice([0, 0, 1, 2, 9]))):
+            most = len(a) * (100 - measure.percent) // 180 + 1
+            sets.append(np.union1d(rng.permutation(a)[int(rng.integers(0, most + 1)) :], hashes(int(rng.integers(0, most + 1)))))
+    order = rng.permutation(len(sets))
+    flights = np.array_split(order, 9)
+    entries, answers = [], {f: [] for f in range(9)}
+    for f, own in enumerate(flights):
+        packs, (owners, numbers) = jaccard.flight([sets[i] for i in own], buckets)
+        answers[f].append((owners, numbers, np.full(len(owners), common + 1, np.uint8)))
+        entries += [(w, f, np.frombuffer(r, np.uint32), np.frombuffer(o, np.uint16)) for w, r, o in packs]
+    for bucket in range(buckets):
+        mine = [e for e in entries if e[0] == bucket]
+        of, rests, owners = np.repeat([e[1] for e in mine], [len(e[2]) for e in mine]), np.concatenate([e[2] for e in mine]), np.concatenate([e[3] for e in mine])
+        at, counts = jaccard.shared(of, rests, owners)
+        for f in range(9):
+            here = of[at] == f
+            answers[f].append((owners[at][here], np.uint64(bucket) + rests[at][here].astype(np.uint64) * np.uint64(buckets), counts[here]))
+    cells = {i: set() for i in range(len(sets))}
+    for f, own in enumerate(flights):
+        owners, numbers, counts = (np.concatenate([x[k] for x in answers[f]]) for k in range(3))
+        found, of = jaccard.chosen_cells(measure, np.array([len(sets[i]) for i in own]), owners.astype(np.int64), numbers, counts)
+        for cell, i in zip(found.tolist(), of.tolist()):
+            cells[int(own[i])].add(cell)
+    links, alone = 0, []
+    for i, x in enumerate(sets):
+        linked = [j for j, y in enumerate(sets) if j != i and measure.linked(len(np.intersect1d(x, y)), len(x), len(y)) and len(np.setxor1d(x, y))]
+        links += len(linked)
+        assert all(cells[i] & cells[j] for j in linked)
+        if not linked:
+            alone.append(bool(cells[i]))
+    assert links > 150 and np.mean(alone) < 0.6
 
 
 @pytest.mark.parametrize("measure", MEASURES)
@@ -170,6 +200,8 @@ def test_linked_pivots_are_one_hub():
 def test_blocks_of_a_region_that_does_not_shrink(spark, monkeypatch):
     """Every two documents of different hubs (or of none) meet in a block pair, and no pair is over the bound by more than its blocks' spread."""
     monkeypatch.setattr(jaccard, "BLOCK_WEIGHT", 2000)
+    monkeypatch.setattr(jaccard, "REGION_WEIGHT", 2)
+    monkeypatch.setattr(jaccard, "BLOCKS", 1)
     monkeypatch.setattr(jaccard, "ROW_WEIGHT", 0)
     rows = [(7, i, 20, None if i % 3 == 0 else i % 3, [i]) for i in range(300)] + [(8, 1000 + i, 20, 5, [i]) for i in range(300)]
     df = spark.createDataFrame(rows, "region long, cid long, n long, hub long, shingles array<long>")
@@ -191,10 +223,10 @@ def test_against_brute(spark, monkeypatch):
     rows = odd_rows()
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_shingles", F.lit("clash"))
     want = brute(rows)
-    for region, block, held in ((jaccard.REGION_WEIGHT, jaccard.BLOCK_WEIGHT, jaccard.HELD_CELLS), (8000, 8000, 500), (2000, 700, 1)):
+    for region, block, held in ((jaccard.REGION_WEIGHT, jaccard.BLOCK_WEIGHT, jaccard.HELD), (8000, 8000, 2000), (2000, 700, 300)):
         monkeypatch.setattr(jaccard, "REGION_WEIGHT", region)
         monkeypatch.setattr(jaccard, "BLOCK_WEIGHT", block)
-        monkeypatch.setattr(jaccard, "HELD_CELLS", held)
+        monkeypatch.setattr(jaccard, "HELD", held)
         got = jaccard.jaccard_groups(df, "doc_id", "text", jaccard.Measure(3, 90)).collect()
         assert sorted(repr(tuple(r)) for r in got) == want
     assert jaccard.jaccard_groups(df.limit(0), "doc_id", "text").count() == 0
