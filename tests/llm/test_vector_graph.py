@@ -56,6 +56,61 @@ def test_against_brute(spark, monkeypatch):
     assert sorted(repr((r.vec_id, r.n_links, r.component_id)) for r in got) == brute([r[:3] if r[0] != 508 else (508, 0, rows[4][2]) for r in rows], 0.93)
     assert all(r.kept == (r.vec_id is not None and r.vec_id == r.component_id) for r in got)
     assert vector_graph.near_duplicate_vectors(df.limit(0), "vec_id", "embedding", "label").count() == 0
+    # A poor search is noticed, and the full comparison by blocks gives the same rows.
+    monkeypatch.setattr(vector_graph, "EFFORTS", ())
+    full = vector_graph.near_duplicate_vectors(df, "vec_id", "embedding", "label", 0.93).collect()
+    assert sorted(map(tuple, full), key=repr) == sorted(map(tuple, got), key=repr)
+
+
+def planted(n, labels, dim=64, seed=4):
+    """Random vectors with groups of near copies of many sizes, and one dense group that holds a fifth of all rows."""
+    rng = np.random.default_rng(seed)
+    rows, vec_id = [], 0
+    while len(rows) < n:
+        centre, label = rng.normal(size=dim), int(rng.integers(labels))
+        size = n // 5 if not rows else int(rng.choice([1, 1, 1, 2, 3, 10, 40]))
+        for _ in range(size):
+            rows.append((vec_id, label, (centre + rng.normal(size=dim) * rng.choice([0.05, 0.15, 0.22])).astype(np.float32).tolist()))
+            vec_id += 1
+    return rows
+
+
+def true_links(rows, least=0.93):
+    ids, labels, unit = np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), vector_graph.unit_rows(np.array([r[2] for r in rows], float))
+    out = {}
+    for label in np.unique(labels):
+        of = np.flatnonzero(labels == label)
+        out |= dict(zip(ids[of].tolist(), ((unit[of] @ unit[of].T >= least).sum(axis=1) - 1).tolist()))
+    return out
+
+
+def test_recall_with_links_over_shards(spark, monkeypatch):
+    """Several shards and blocks a label and a dense group: nearly all links are found, none falsely, and the figures are in the result."""
+    for name, value in (("SHARD_ROWS", 256), ("PART_ROWS", 300)):
+        monkeypatch.setattr(vector_graph, name, value)
+    rows = planted(6000, 3)
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>")
+    got = {r.vec_id: r for r in vector_graph.near_duplicate_vectors(df, "vec_id", "embedding", "label", 0.93).collect()}
+    want = true_links(rows)
+    assert all(got[i].n_links <= n for i, n in want.items())
+    recall = sum(got[i].n_links for i in want) / sum(want.values())
+    asked = [i for i in want if i % 20 == 0]
+    by_twenty = sum(got[i].n_links for i in asked) / sum(want[i] for i in asked)
+    one = next(iter(got.values()))
+    print(f"recall {recall:.5f}, of ids divisible by 20 {by_twenty:.5f}, audit {one.audit_found} of {one.audit_links}, links {sum(want.values())}")
+    assert recall >= 0.99 and by_twenty >= 0.99 and one.audit_links > 1000 and one.audit_found >= 0.99 * one.audit_links
+
+
+def test_a_poor_effort_is_not_returned(spark, monkeypatch):
+    """A search that can find hardly anything fails the audit, and the next one runs."""
+    monkeypatch.setattr(vector_graph, "SHARD_ROWS", 100)
+    monkeypatch.setattr(vector_graph, "EFFORTS", (vector_graph.Effort(1, 1, 2, 1),))
+    monkeypatch.setattr(vector_graph, "SLACK", -0.05)
+    rows = planted(1500, 2, seed=8)
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>")
+    got = {r.vec_id: r.n_links for r in vector_graph.near_duplicate_vectors(df, "vec_id", "embedding", "label", 0.93).collect()}
+    want = true_links(rows)
+    assert sum(got.values()) >= 0.99 * sum(want.values())
 
 
 def test_query(spark):
