@@ -85,10 +85,45 @@ FORMS = [
     ("license-of", 2, 0.7, " licen", r"licen[cs]e {n}"),
     ("see", 2, 0.7, " see the ", r"see the {n} (?:license )?for"),
 ]
+#: Matches of a run.
+RUN = 128
 #: Names that say enough by themselves.
 BARE = ("proprietary", "public-domain", "cc0", "gpl-2", "gpl-3", "lgpl-2.1", "lgpl-3", "agpl-3", "apache-2", "mpl-2", "cc-by", "cc-by-sa", "cc-by-nd", "cc-by-nc", "cc-by-nc-sa", "cc-by-nc-nd", "unlicense", "odbl", "gfdl")
 
 
+#: Sentences of licence texts and notices themselves: label, literal that its rules share, a literal of its own, regex.
+BODIES = [
+    ("mit", " hereby granted ", " person obtaining a copy ", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("boost", " hereby granted ", " person or organization obtaining ", r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software"),
+    ("isc", " hereby granted ", " with or without fee ", r"permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted"),
+    ("postgresql", " hereby granted ", " without a written agreement ", r"for any purpose without fee and without a written agreement is hereby granted"),
+    ("bsd", " redistribut", " in source and binary forms ", r"redistribution and use in source and binary forms(?: of [a-z]+)? with or without modification are permitted"),
+    ("bsd-3-clause", " this software ", " endorse or promote products ", r"neither the name of (?:[^ ]+ ){1,12}may be used to endorse or promote products derived from this software"),
+    ("bsd-4-clause", " this software ", " all advertising materials ", r"all advertising materials mentioning features or use of this software must display"),
+    ("zlib", " altered source versions ", " altered source versions ", r"altered source versions must be plainly marked as such"),
+    ("openssl", " redistribut", " the openssl project ", r"redistributions of any form whatsoever must retain the following acknowledg(?:e)?ment this product includes software developed by the openssl project"),
+    ("gpl-2", " redistribut", " gnu general public license ", r"you can redistribute it and or modify it under the terms of (?:version 2 of )?the gnu general public license as published by the free software foundation(?: either)? version 2"),
+    ("gpl-3", " redistribut", " gnu general public license ", r"you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation(?: either)? version 3"),
+    ("lgpl-2.1", " redistribut", " gnu lesser general public license ", r"you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation(?: either)? version 2 1"),
+    ("lgpl-3", " redistribut", " gnu lesser general public license ", r"you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation(?: either)? version 3"),
+    ("agpl-3", " redistribut", " gnu affero general public license ", r"you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation(?: either)? version 3"),
+    ("apache-2", " in compliance with the license ", " apache license ", r"licensed under the apache license version 2(?: 0)? the license you may not use this file except in compliance with the license"),
+    ("mpl-2", " source code ", " mozilla public license ", r"this source code form is subject to the terms of the mozilla public license v ?2 0"),
+    ("bsd", " source code ", " bsd style license ", r"use of this source code is governed by a bsd style license"),
+    ("mit", " source code ", " mit style license ", r"use of this source code is governed by an? mit style license"),
+    ("epl-2", " made available under ", " eclipse public license ", r"this program and the accompanying materials are made available under the terms of the eclipse public license (?:v )?2 0"),
+    ("cddl", " the contents of this file ", " common development and distribution license ", r"the contents of this file are subject to the terms of the common development and distribution license"),
+    ("unlicense", " public domain", " unencumbered software ", r"this is free and unencumbered software released into the public domain"),
+    ("cc0", " possible under law ", " waived all copyright ", r"to the extent possible under law (?:[^ ]+ ){1,12}has waived all copyright"),
+    ("wtfpl", " public license", " you want to public license ", r"do what the (?:fuck|f[^ ]*) you want to public license"),
+    ("artistic", " under the same terms as ", " perl ", r"redistribute it and or modify it under the same terms as perl itself"),
+    ("python-2", " hereby grants ", " psf ", r"psf hereby grants licensee a nonexclusive royalty free world wide license"),
+    ("ofl-1.1", " under the ", " font software ", r"this font software is licensed under the sil open font license version 1 1"),
+    ("proprietary", " strictly prohibited ", " unauthorized copying ", r"unauthorized copying of this file via any medium is strictly prohibited"),
+    ("proprietary", " proprietary ", " confidential ", r"(?:proprietary and confidential|confidential and proprietary)"),
+]
+
+
 @dataclass(frozen=True)
 class Rule:
     """One signature; ``regex`` matches whole words of the word text, without the space before it.
@@ -105,12 +140,13 @@ class Rule:
 
 
 def signature_rules() -> list[Rule]:
-    """Every family in every form, then the bare names: priority first, then the order of the tables."""
+    """Every family in every form, the sentences of licence texts, then the bare names: priority first, then the order of the tables."""
     rules = []
     for kind, priority, weight, key, form in FORMS:
         for label, names, name, spdx in FAMILIES:
             regex = "(?<= )" + form.format(n=f"(?:{name})", s=f"(?:{spdx})") + "(?= )"
             rules.append(Rule(label, priority, weight, (key,), (key,) if kind == "identifier" else tuple(names.split("|")), regex))
+    rules += [Rule(label, 3, 1.0, (key,), (name,), f"(?<= ){regex}(?= )") for label, key, name, regex in BODIES]
     return rules + [Rule(label, 1, 0.6, (), tuple(names.split("|")), f"(?<= )(?:{name})(?= )") for label, names, name, _ in FAMILIES if label in BARE]
 
 
@@ -157,7 +193,7 @@ def _holds_any(words: Column, literals: Iterable[str]) -> Column:
 def gate(words: Column, rules: list[Rule]) -> Column:
     """False only for texts that no rule matches."""
     bare, formed = [r for r in rules if not r.keywords], [r for r in rules if r.keywords]
-    by_form = _holds_any(words, (r.keywords[0] for r in formed)) & _holds_any(words, (n for r in formed for n in r.names))
+    by_form = _holds_any(words, (k for r in formed for k in r.keywords[:1])) & _holds_any(words, (n for r in formed for n in r.names))
     return _holds_any(words, (n for r in bare for n in r.names)) | by_form
 
 
@@ -171,15 +207,25 @@ def detections(words: Column, rules: list[Rule]) -> Column:
     def places(rule: Column) -> Column:
         found = F.regexp_extract_all(words, rule["regex"], F.lit(0))
         pieces = F.split(words, rule["regex"], -1)
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,back:int>>").alias("out"))
+        nothing = F.array().cast("array<struct<start:int,back:int>>")
+        zero = lambda: F.struct(F.lit(0).alias("at"), nothing.alias("out"))
 
         def step(state: Column, pair: Column) -> Column:
             start = state["at"] + F.length(pair["pieces"])
             end = start + F.length(pair["found"])
             return F.struct(end.alias("at"), F.concat(state["out"], F.array(F.struct(start.alias("start"), (-end).alias("back")))).alias("out"))
 
+        # Appending copies an array, so places are first built in runs of ``RUN`` matches, each from 0, and then moved by the runs before.
         pairs = F.filter(F.arrays_zip(pieces.alias("pieces"), found.alias("found")), lambda p: p["found"].isNotNull())
-        spans = F.aggregate(pairs, zero, step, lambda s: s["out"])
+        starts = F.when(F.size(pairs) == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), F.greatest(F.size(pairs), F.lit(1)), F.lit(RUN)))
+        runs = F.transform(starts, lambda i: F.aggregate(F.slice(pairs, i, RUN), zero(), step))
+        moved = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<start:int,back:int>>>").alias("out"))
+
+        def move(state: Column, run: Column) -> Column:
+            here = F.transform(run["out"], lambda p: F.struct((p["start"] + state["at"]).alias("start"), (p["back"] - state["at"]).alias("back")))
+            return F.struct((state["at"] + run["at"]).alias("at"), F.concat(state["out"], F.array(here)).alias("out"))
+
+        spans = F.flatten(F.aggregate(runs, moved, move, lambda s: s["out"]))
         return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["back"].alias("back"), (-rule["priority"]).alias("down"), rule["id"].alias("id"), rule["label"].alias("label"), rule["weight"].alias("weight")))
 
     return F.sort_array(F.flatten(F.transform(fitting, places)))

@@ -94,6 +94,8 @@ def strings(parsed):
     for kind, value in parsed:
         if kind is _parser.LITERAL:
             more = [chr(value)]
+        elif kind is _parser.NOT_LITERAL:
+            more = ["x"]
         elif kind is _parser.IN:
             more = [chr(x) for k, v in value for x in ([v] if k is _parser.LITERAL else [v[0]])]
         elif kind is _parser.BRANCH:
@@ -113,3 +115,34 @@ def test_literals_are_in_every_match():
     for rule in RULES:
         for text in strings(_parser.parse(rule.regex)):
             assert all(k in f" {text} " for k in rule.keywords) and any(n in f" {text} " for n in rule.names), (rule, text)
+
+
+BODY_TEXTS = {
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\")": "mit",
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted": "isc",
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided": "bsd",
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software": "bsd-3-clause",
+    "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License": "gpl,gpl-3",
+    "To the extent possible under law, A. Author has waived all copyright": "cc0",
+    "This is free and unencumbered software released into the public domain.": "unlicense",
+    "Unauthorized copying of this file, via any medium, is strictly prohibited": "proprietary",
+}
+
+
+def test_licence_bodies(spark):
+    got = licenses.scan_licenses(spark.createDataFrame(list(enumerate(BODY_TEXTS)), "doc_id long, text string"), "doc_id", "text").collect()
+    for r in got:
+        text = list(BODY_TEXTS)[r.doc_id]
+        assert (r.labels, r.score) == ungated(text) and r.score == 1.0
+        assert set(BODY_TEXTS[text].split(",")) & set(r.labels.split(",")), (text, r.labels)
+
+
+def test_prefilter_gates(spark):
+    """Of documents without any licence words hardly one is searched, and of a mention of one family few rules are tried."""
+    words = licenses.word_text(licenses.F.col("text"))
+    docs = queries.table(spark, "/root/testdata/sf0.01", "documents")
+    clean = [(r.score == 0, r.searched) for r in licenses.scan_licenses(docs, "doc_id", "text").join(docs.select("doc_id", licenses.gate(words, RULES).alias("searched")), "doc_id").collect()]
+    assert sum(searched for none, searched in clean if none) <= 0.05 * sum(none for none, _ in clean)
+    spaced = " this is released under the mit license "
+    tried = [r for r in RULES if all(k in spaced for k in r.keywords) and any(n in spaced for n in r.names)]
+    assert 0 < len(tried) < len(RULES) / 20
