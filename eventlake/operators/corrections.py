@@ -54,9 +54,12 @@ def select_for_resolution(quarantine: DataFrame, ids: list[str] | DataFrame) ->
     return chosen
 
 
-def select_for_replay(quarantine: DataFrame, record_ids: list[str]) -> DataFrame:
-    """The open rows of the records."""
-    return quarantine.where(F.col("bronze_record_id").isin(record_ids) & F.col("status").isin(*REPLAYABLE))
+def select_for_replay(quarantine: DataFrame, record_ids: list[str] | DataFrame) -> DataFrame:
+    """The open rows of the records (a list, or a table's first column)."""
+    waiting = quarantine.where(F.col("status").isin(*REPLAYABLE))
+    if isinstance(record_ids, DataFrame):
+        return waiting.join(record_ids.select(F.col(f"`{record_ids.columns[0]}`").alias("bronze_record_id")).distinct(), "bronze_record_id", "left_semi")
+    return waiting.where(F.col("bronze_record_id").isin(record_ids))
 
 
 def audit(rows: DataFrame, kind: str, run_id: str, note: Column, at: Column | None = None) -> DataFrame:

@@ -329,6 +329,21 @@ def quality_metrics_late(spark, sf_dir):
     return _rated(c.outcome_counts(rows).crossJoin(late))  # one row each
 
 
+@query(
+    "quality_by_file",
+    """, n AS (SELECT k // 20 AS file, count(*) AS input, count(*) FILTER (WHERE outcome = 'VALID') AS valid, count(*) FILTER (WHERE outcome NOT IN ('VALID', 'EXACT_DUPLICATE')) AS quarantined,
+  count(*) FILTER (WHERE outcome = 'EXACT_DUPLICATE') AS duplicates, count(*) FILTER (WHERE outcome = 'VALID' AND minute < 3) AS late FROM timed GROUP BY 1) """ + RATED,
+)
+def quality_by_file(spark, sf_dir):
+    """D3-D6 over very many batches, of every status: each file and its variants is one, and an event of the first three minutes counts as late."""
+    outcome = F.col("outcome")
+    counts = outcomes(spark, sf_dir).groupBy(F.expr("k div 20").alias("file")).agg(
+        F.count("*").alias("input"), F.count_if(outcome == VALID).alias("valid"), F.count_if(~outcome.isin(VALID, "EXACT_DUPLICATE")).alias("quarantined"),
+        F.count_if(outcome == "EXACT_DUPLICATE").alias("duplicates"), F.count_if((outcome == VALID) & (F.col("minute") < 3)).alias("late"),
+    )
+    return _rated(counts)
+
+
 # --- marts -----------------------------------------------------------------------------------------------------------
 
 
@@ -424,6 +439,15 @@ def correction_reject(spark, sf_dir):
     return _audited(spark, sf_dir, _corrections(spark, sf_dir), "reject")
 
 
+@query("replay_selection", "SELECT quarantine_id FROM held WHERE ordinal % 4 <> 0 AND bronze_record_id IN (SELECT bronze_record_id FROM held WHERE outcome = 'INVALID_MATCH_MINUTE')")
+def replay_selection(spark, sf_dir):
+    """of the records with an invalid minute, all rows that are still open, whatever their rule."""
+    held = materialize(c.quarantine_rows(outcomes(spark, sf_dir), "contract"), "contract-held")
+    status = F.expr("element_at(array('REPROCESSED', 'NEW', 'UNDER_REVIEW', 'FIXED'), event_ordinal % 4 + 1)")
+    chosen = corrections.select_for_replay(held.withColumn("status", status), held.where("error_type = 'INVALID_MATCH_MINUTE'").select("bronze_record_id"))
+    return chosen.select("quarantine_id")
+
+
 @query("replay_audit", _audit_sql("outcome = 'INVALID_MATCH_MINUTE'", "REPROCESSED", "REPLAY", 1))
 def replay_audit(spark, sf_dir):
     return _audited(spark, sf_dir, outcomes(spark, sf_dir).where("outcome = 'INVALID_MATCH_MINUTE'"), "replay")
