@@ -1,6 +1,8 @@
+import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from eventlake.llm import queries, quality
@@ -65,3 +67,43 @@ def test_repeated_and_missing_documents(spark):
     for docs, some in (([(0, bad)] * 400 + rows, grades), (rows, grades + [(i, 0) for i in range(1000, 3000)])):
         got = quality.train(frame(docs), "doc_id", "text", labels(some), "grade", 20)
         assert got.grades == want.grades and got.weights == want.weights and list(got.thresholds) == list(want.thresholds)
+
+
+def test_fit_meets_the_optimality_conditions():
+    """Independent of the solver: slopes of the penalized likelihood by differences are 0 at thresholds and weights, and within the penalty where a weight is 0."""
+    rng = np.random.default_rng(6)
+    n, d, l1 = 400, 20, 0.01
+    x = rng.random((n, d)) < 0.3
+    true = np.where(np.arange(d) < 6, rng.normal(size=d) * 2, 0)
+    y = np.searchsorted([-0.5, 1.0], x @ true + rng.logistic(size=n))
+    model = quality.fit([np.flatnonzero(r) for r in x], y.tolist(), steps=6000, l1=l1)
+    w = np.array([model.weights.get(j, 0.0) for j in range(d)])
+
+    def loss(w, theta):
+        below = np.hstack([np.zeros((n, 1)), 1 / (1 + np.exp(-(theta[None, :] - (x @ w)[:, None]))), np.ones((n, 1))])
+        return -np.log(below[np.arange(n), y + 1] - below[np.arange(n), y]).mean()
+
+    theta, e = model.thresholds, 1e-5
+    assert list(theta) == sorted(theta) and model.grades == [0, 1, 2]
+    for j in range(len(theta)):
+        step = np.eye(len(theta))[j] * e
+        assert abs(loss(w, theta + step) - loss(w, theta - step)) / (2 * e) < 1e-3
+    slopes = np.array([(loss(w + np.eye(d)[j] * e, theta) - loss(w - np.eye(d)[j] * e, theta)) / (2 * e) for j in range(d)])
+    assert np.all(np.abs(slopes[w != 0] + l1 * np.sign(w[w != 0])) < 1e-3) and np.all(np.abs(slopes[w == 0]) <= l1 + 1e-3)
+    assert 0 < np.count_nonzero(w) < d
+
+
+def test_query_against_plain_scores(spark, sf_dir):
+    """Every document's expected grade and tail probability from its features and the model's weights, one by one."""
+    docs = queries.table(spark, sf_dir, "documents")
+    model = queries.quality_model(docs, queries.table(spark, sf_dir, "labels"))
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    got = queries.op5_quality(spark, sf_dir).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        score = math.fsum(model.weights.get(int(f), 0.0) for f in quality.features(texts[r.doc_id]))
+        above = [1.0] + [1 / (1 + math.exp(t - score)) for t in model.thresholds] + [0.0]
+        p = [a - b for a, b in zip(above, above[1:])]
+        assert r.expected_grade == pytest.approx(sum(g * x for g, x in zip(model.grades, p)), abs=1e-9)
+        tail = sum(x for g, x in zip(model.grades, p) if g >= queries.GOOD_GRADE)
+        assert r.tail_probability == pytest.approx(tail, abs=1e-9) and r.kept == (r.tail_probability >= queries.GOOD_PROBABILITY)
