@@ -31,11 +31,11 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         yield batch.slice(start)
 
 
-def map_texts(df: DataFrame, keys: list[str], text: str, schema: str, work: Callable[[], Callable]) -> DataFrame:
+def map_texts(df: DataFrame, keys: list[str], text: str, schema: str, work: Callable[[], Callable], arrays: bool = False) -> DataFrame:
     """Runs over ``keys`` + ``text`` only, so that other columns are neither read nor clash.
 
     ``work()`` is called once for each task and returns a function from a slice
-    (a record batch with ``keys`` and the texts, nulls as "") to columns in the order of ``schema``.
+    (a record batch with ``keys`` and the texts, nulls as ""; texts as a list, or as an Arrow array with ``arrays``) to columns in the order of ``schema``.
     """
     named = [F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keys)]
     narrow = df.select(*named, F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
@@ -44,7 +44,7 @@ def map_texts(df: DataFrame, keys: list[str], text: str, schema: str, work: Call
         step, names = work(), None
         for batch in batches:
             for part in slices(batch, "text"):
-                columns = step([part.column(i) for i in range(len(keys))], part.column("text").to_pylist())
+                columns = step([part.column(i) for i in range(len(keys))], part.column("text") if arrays else part.column("text").to_pylist())
                 names = names or schema_names
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 

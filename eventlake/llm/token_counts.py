@@ -20,6 +20,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from eventlake.llm.rows import map_texts
@@ -31,6 +32,7 @@ CACHED_CHARS = 64
 TRIE_NODES = 500_000
 #: Fixed value: SentencePiece's mark for the start of a word.
 MARK = "▁"
+ABSENT = object()
 
 
 class Unigram:
@@ -38,7 +40,9 @@ class Unigram:
 
     def __init__(self, pieces: dict[str, float], byte_cost: float):
         self.pieces, self.byte_cost = pieces, byte_cost
-        self.longest = max(map(len, pieces), default=1)
+        #: Every end of a piece -> the log probability, or None where it is no piece itself.
+        self.ending: dict[str, float | None] = dict.fromkeys(p[i:] for p in pieces for i in range(len(p)))
+        self.ending.update(pieces)
         self.known: dict[str, tuple[int, int, float]] = {}
         self._plant()
 
@@ -68,57 +72,96 @@ class Unigram:
         return {word: self._insert(word) for word in words}
 
     def _insert(self, word: str) -> tuple[int, int, float]:
-        child, scores, tokens, raw = self.child, self.scores, self.tokens, self.raw
+        child, scores, tokens, raw, ending, byte_cost = self.child, self.scores, self.tokens, self.raw, self.ending, self.byte_cost
         text, node, way = MARK + word, 0, [0]
         for end, char in enumerate(text, 1):
             key = node << 21 | ord(char)
             node = child.get(key, 0)
             if not node:
+                # Last pieces from short to long, as long as some piece ends so; of equals the longer one stays.
+                best = count = odd = None
+                start = end
+                while start:
+                    start -= 1
+                    piece = ending.get(text[start:end], ABSENT)
+                    if piece is None:
+                        continue
+                    if piece is ABSENT:
+                        break
+                    at = way[start]
+                    score = scores[at] + piece
+                    if best is None or score > best or (score == best and tokens[at] + 1 <= count):
+                        best, count, odd = score, tokens[at] + 1, raw[at]
+                if char not in self.pieces:
+                    at, size = way[end - 1], len(char.encode("utf-8", "surrogatepass"))
+                    score = scores[at] + size * byte_cost
+                    if best is None or score > best or (score == best and tokens[at] + size < count):
+                        best, count, odd = score, tokens[at] + size, raw[at] + size
                 node = child[key] = len(scores)
-                score, count, odd = self._forward(text, end, way)
-                scores.append(score)
+                scores.append(best)
                 tokens.append(count)
                 raw.append(odd)
             way.append(node)
         return tokens[node], raw[node], scores[node]
 
-    def _forward(self, text: str, end: int, way: list[int]) -> tuple[float, int, int]:
-        """Best score, its tokens and byte tokens of ``text[:end]``, from the nodes on the way."""
-        get, scores, tokens, raw = self.pieces.get, self.scores, self.tokens, self.raw
-        best = count = odd = None
-        for start in range(max(0, end - self.longest), end):
-            piece = get(text[start:end])
-            if piece is not None:
-                at = way[start]
-                score = scores[at] + piece
-                if best is None or score > best or (score == best and tokens[at] + 1 < count):
-                    best, count, odd = score, tokens[at] + 1, raw[at]
-        char = text[end - 1]
-        if char not in self.pieces:
-            at, size = way[end - 1], len(char.encode("utf-8", "surrogatepass"))
-            score = scores[at] + size * self.byte_cost
-            if best is None or score > best or (score == best and tokens[at] + size < count):
-                best, count, odd = score, tokens[at] + size, raw[at] + size
-        return best, count, odd
-
-    def count(self, texts: list[str]) -> list[tuple[int, int, int, float]]:
-        """Pre-tokens, tokens, byte tokens and log probability of each text."""
+    def _known(self, words: list[str]) -> list[tuple[int, int, float]]:
+        """Tokens, byte tokens and score of distinct words."""
         if len(self.known) > CACHED:
             self.known.clear()
         known = self.known
-        parts = [t.split() for t in texts]
-        new = self.learn(sorted(set().union(*parts).difference(known)))
+        new = self.learn(sorted(w for w in words if w not in known))
         known.update(new)
-        out = []
-        for words in parts:
-            got = list(map(known.__getitem__, words))
-            out.append((len(got), sum(g[0] for g in got), sum(g[1] for g in got), math.fsum(g[2] for g in got)))
+        found = list(map(known.__getitem__, words))
         for word in new:
             if len(word) > CACHED_CHARS:
                 del known[word]
+        return found
+
+    def count(self, texts: pa.Array) -> list[np.ndarray]:
+        """Pre-tokens, tokens, byte tokens and log probability of each text (no nulls).
+
+        The words of all texts are found, and told apart, by arrays; texts with white space beyond ASCII are split by themselves.
+        """
+        texts = texts.cast(pa.binary())
+        wide = pc.match_substring_regex(texts.cast(pa.string()), f"[{WIDE_SPACE}]")
+        plain = pc.if_else(wide, pa.scalar(b""), texts) if pc.any(wide).as_py() else texts
+        place = np.frombuffer(plain.buffers()[1], np.int32)[plain.offset : plain.offset + len(plain) + 1]
+        data = np.frombuffer(plain.buffers()[2] or b"", np.uint8)[place[0] : place[-1]]
+        words, own = words_of(data, place[:-1] - place[0])
+        coded = words.dictionary_encode()
+        code, of = coded.indices.to_numpy(), np.array(self._known([w.decode("utf-8") for w in coded.dictionary.to_pylist()]) or np.empty((0, 3)))
+        ends = np.searchsorted(own, place - place[0])
+        full = np.flatnonzero(np.diff(ends))
+        out = [np.diff(ends), *(np.zeros(len(texts), kind) for kind in (np.int64, np.int64, np.float64))]
+        for i in range(3):
+            if len(full):
+                out[i + 1][full] = np.add.reduceat(of[code, i], ends[:-1][full])
+        for row in np.flatnonzero(wide.to_numpy(zero_copy_only=False)).tolist():
+            parts = texts[row].as_py().decode("utf-8").split()
+            distinct = list(dict.fromkeys(parts))
+            value = dict(zip(distinct, self._known(distinct)))
+            for i, total in enumerate((len(parts), *(sum(value[w][j] for w in parts) for j in range(3)))):
+                out[i][row] = total
         return out
 
 
+#: ASCII bytes, and characters beyond, that str.split() counts as white space.
+WIDE_SPACE = "\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_WHITE = np.isin(np.arange(256), [*range(0x09, 0x0E), *range(0x1C, 0x21)])
+
+
+def words_of(data: np.ndarray, begins: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """Words of texts that stand one after the other in ``data``, and where each starts."""
+    n = len(data)
+    white = _WHITE[data]
+    opening = np.zeros(n, bool)
+    opening[begins[begins < n]] = True
+    starts = np.flatnonzero(~white & (opening | np.append(True, white[:-1])[:n]))
+    before = np.append(0, np.cumsum(~white))  # bytes of words before each place
+    offsets = before[np.append(starts, n)].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[~white].tobytes())]), starts
+
+
 @functools.lru_cache(maxsize=2)
 def unigram(path: str) -> Unigram:
     return Unigram.from_file(path)
@@ -132,10 +175,8 @@ def count_tokens(df: DataFrame, id_col: str, text_col: str, pieces_path: str) ->
         model = unigram(pieces_path)
 
         def step(keys, texts):
-            rows = model.count(texts)
-            whole = np.array([r[:3] for r in rows], dtype=np.int64).reshape(-1, 3)
-            return [keys[0], *(pa.array(whole[:, i]) for i in range(3)), pa.array([r[3] for r in rows], pa.float64())]
+            return [keys[0], *map(pa.array, model.count(texts))]
 
         return step
 
-    return map_texts(df, [id_col], text_col, f"k0 {kind}, n_pretokens long, n_tokens long, n_byte_tokens long, log_prob double", work).withColumnRenamed("k0", id_col)
+    return map_texts(df, [id_col], text_col, f"k0 {kind}, n_pretokens long, n_tokens long, n_byte_tokens long, log_prob double", work, arrays=True).withColumnRenamed("k0", id_col)

@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 
 from eventlake.llm import queries, token_counts
@@ -47,6 +48,19 @@ def test_trie_lives_on_and_is_replanted(monkeypatch):
     assert model.learn(["ab", "abb"]) == first and model.nodes == nodes
 
 
+def test_texts_against_split():
+    """Words as str.split() gives them, and sums over them, whatever white space stands where."""
+    model = token_counts.Unigram.from_file(PATH)
+    rng = random.Random(9)
+    texts = ["", " ", "a", " a ", "\x1c", "a\x1cb", "\u3000", "a\u3000b c", "\xa0", "é\x85è x", "x" * 200 + " y"] + ["".join(rng.choice("ab é\t\n\x1f\xa0日") for _ in range(rng.randrange(12))) for _ in range(2000)]
+    for part in (texts, texts[3:9], [], [""], ["", ""]):
+        got = list(zip(*(c.tolist() for c in model.count(pa.array(part, pa.string())))))
+        for text, row in zip(part, got, strict=True):
+            each = [naive(model, w) for w in text.split()]
+            assert row[:3] == (len(each), sum(e[0] for e in each), sum(e[1] for e in each)), ascii(text)
+            assert row[3] == pytest.approx(sum(e[2] for e in each))
+
+
 def test_rows(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(token_counts, "CACHED", 50)
     rows = [(1, "a b"), (1, "a b"), (None, None), (2, ""), (3, "x" * 5000 + " y"), (4, "many words " * 9000)]
