@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import functools
 import json
+import os
 import unicodedata
 
 import numpy as np
@@ -124,6 +125,7 @@ class WordBpe:
         self.inner = {b: vocab[c] for b, c in alphabet.items()}
         self.last = {b: vocab[c + suffix] for b, c in alphabet.items()}
         self.added = {t["content"]: t["id"] for t in file["added_tokens"]}
+        self.mark = os.path.commonprefix(list(self.added))
         self.split_added = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) or r"(?!)")
         self.words = regex.compile(file["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         size = max([*vocab.values(), *self.added.values()]) + 1
@@ -142,6 +144,8 @@ class WordBpe:
 
     def words_of(self, text: str) -> list[bytes]:
         """Pre-tokens of a text without added tokens, as UTF-8."""
+        if text.isascii():
+            return [w.encode() for w in self.words.findall(text.lower())]
         if self.checked.fullmatch(text) is None:
             cut = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
             return [bytes(map(self.byte_of.__getitem__, piece)) for piece, _ in cut]
@@ -168,7 +172,7 @@ class WordBpe:
         """Ids of a chunk without white space, as little-endian 32-bit integers."""
         ids: list[int] = []
         at = 0
-        for hit in self.split_added.finditer(text):
+        for hit in self.split_added.finditer(text) if self.mark in text else ():
             ids += self.plain(text[at : hit.start()])
             ids.append(self.added[hit[0]])
             at = hit.end()
