@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import functools
 import json
+import os
 import re
 import struct
 import uuid
@@ -27,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,6 +37,7 @@ from eventlake.llm.rows import materialize, shared_folder, slices
 
 MAGIC = b"WVMTX001"
 BLOCK_BITS = 1 << 18
+RUN = 1 << 16
 SHARD_TOKENS = 4 << 20
 #: Text bytes that one range partition gets on average.
 PARTITION_BYTES = 24 << 20
@@ -42,13 +45,39 @@ READ_TOKENS = 1 << 20
 GROUP_PARTS = 4096
 CACHED_CHUNKS = 700_000
 CACHED_CHARS = 64
-#: The white space that byte-level BPE's pattern counts as such.
-SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Chunks that the library gets at once.
+JOINT = 500
+#: The white space beyond ASCII that byte-level BPE's pattern counts as such.
+WIDE_SPACE = "\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 # --- the file format -------------------------------------------------------------------------------------------------
 
 
+def parted(current: np.ndarray, ones: np.ndarray, zeros: int) -> np.ndarray:
+    """Stably, the values without the bit and then those with it; by runs, whose places stay in the cache."""
+    out, low, high = np.empty_like(current), 0, zeros
+    for start in range(0, len(current), RUN):
+        run, flag = current[start : start + RUN], ones[start : start + RUN]
+        for some, with_bit in ((np.flatnonzero(~flag), False), (np.flatnonzero(flag), True)):
+            at = high if with_bit else low
+            out[at : at + len(some)] = run.take(some)
+            low, high = (low, high + len(some)) if with_bit else (low + len(some), high)
+    return out
+
+
+def unparted(current: np.ndarray, ones: np.ndarray, zeros: int, bit: np.integer) -> np.ndarray:
+    """The order before ``parted``, with the bit set where it was."""
+    out, low, high = np.empty_like(current), 0, zeros
+    for start in range(0, len(current), RUN):
+        run, flag = out[start : start + RUN], ones[start : start + RUN]
+        without, those = np.flatnonzero(~flag), np.flatnonzero(flag)
+        run[without] = current[low : low + len(without)]
+        run[those] = current[high : high + len(those)] | bit
+        low, high = low + len(without), high + len(those)
+    return out
+
+
 def pack(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int], bits: int) -> bytes:
     """A file's bytes: magic, header length, header (JSON), then the compressed parts."""
     compress = zstandard.ZstdCompressor(level=1).compress
@@ -70,9 +99,8 @@ def pack(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int], bits: i
             block = ones[start : start + BLOCK_BITS]
             blocks.append([*add(np.packbits(block).tobytes()), before])
             before += int(np.count_nonzero(block))
-        zeros = current[~ones]
-        planes.append({"zeros": len(zeros), "blocks": blocks})
-        current = np.concatenate([zeros, current[ones]])
+        planes.append({"zeros": len(ones) - before, "blocks": blocks})
+        current = parted(current, ones, len(ones) - before)
     null = [i for i, d in enumerate(doc_ids) if d is None]
     header = {
         "n": len(ids), "bits": bits, "block_bits": BLOCK_BITS, "planes": planes, "null_docs": null,
@@ -185,11 +213,7 @@ class WaveletFile:
         current = np.zeros(self.n, np.uint16 if self.bits <= 16 else np.uint32)
         for plane in range(self.bits - 1, -1, -1):
             ones = np.unpackbits(bits[plane], count=self.n).view(bool)
-            zeros = self.planes[plane]["zeros"]
-            above = np.empty_like(current)
-            above[~ones] = current[:zeros]
-            above[ones] = current[zeros:] | current.dtype.type(1 << (self.bits - 1 - plane))
-            current = above
+            current = unparted(current, ones, self.planes[plane]["zeros"], current.dtype.type(1 << (self.bits - 1 - plane)))
         return current
 
 
@@ -201,34 +225,36 @@ class ChunkEncoder:
 
     The pattern of byte-level BPE never joins characters across the cuts made here: a run of white space
     gives all but its last character as one piece, only a single space joins the word after it, and a run of
-    ASCII letters before another ASCII character is a piece.
+    ASCII letters at the start of a word, before another visible ASCII character, is a piece.  Cuts, the
+    table of distinct chunks and the ids of all texts of a slice are made by arrays; only chunks not met before are texts of their own.
     """
 
     def __init__(self, path: str):
+        # A worker is one of several on its machine: the library's own threads would only spin.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
-        self.added = [t["content"] for t in file["added_tokens"]]
+        self.special = "|".join([f"[{WIDE_SPACE}]", *(re.escape(t["content"]) for t in file["added_tokens"])])
         self.size = self.library.get_vocab_size(with_added_tokens=True)
-        self.cut = re.compile(f"[{SPACE}]+(?![^{SPACE}])| ?[A-Za-z]+(?=[!-@\\[-`{{-~])| ?[^{SPACE}]+|[{SPACE}]")
-        self.known: dict[str, bytes] = {}
-        self.newline = self.library.encode("\n", add_special_tokens=False).ids
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self._ids(text), "<u4").tobytes()
+        self.known: dict[bytes, bytes] = {}
+        self.newline = self._ids("\n")
 
     def _ids(self, text: str) -> list[int]:
         """The library's ids, without the offsets that nothing here asks for."""
         return self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def _learn(self, new: list[str]) -> None:
+    def _whole(self, text: bytes) -> bytes:
+        return np.array(self._ids(text.decode("utf-8")), "<u4").tobytes()
+
+    def _learn(self, new: list[bytes]) -> None:
         """Encodes chunks joined by line ends, which are tokens of their own between words."""
-        joint = [c for c in new if "\n" not in c and c.strip() and len(c) <= CACHED_CHARS]
-        for at in range(0, len(joint), 2000):
-            some = joint[at : at + 2000]
-            ids = np.array(self._ids("\n".join(some)), "<u4")
+        joint = [c for c in new if len(c) <= CACHED_CHARS and b"\n" not in c and not c.isspace()]
+        for at in range(0, len(joint), JOINT):
+            some = joint[at : at + JOINT]
+            ids = np.array(self._ids(b"\n".join(some).decode("utf-8")), "<u4")
             ends = np.append(np.flatnonzero(ids == self.newline[0]), len(ids)) * 4
             raw, start = ids.tobytes(), 0
             if len(self.newline) == 1 and len(ends) == len(some):
@@ -239,21 +265,73 @@ class ChunkEncoder:
             if chunk not in self.known:
                 self.known[chunk] = self._whole(chunk)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Little-endian 32-bit ids of each text (no nulls).  Texts with white space beyond ASCII or with added tokens go to the library whole."""
+        texts = texts.cast(pa.binary())
+        special = pc.match_substring_regex(texts.cast(pa.string()), self.special)
+        out = self._plain(pc.if_else(special, pa.scalar(b""), texts) if pc.any(special).as_py() else texts)
+        for i in np.flatnonzero(special.to_numpy(zero_copy_only=False)).tolist():
+            out[i] = self._whole(texts[i].as_py())
+        return out
+
+    def _plain(self, texts: pa.Array) -> list[bytes]:
         if len(self.known) >= CACHED_CHUNKS:
             self.known.clear()
-        plain = [not any(a in t for a in self.added) for t in texts]
-        parts = [self.cut.findall(t) if ok else [] for t, ok in zip(texts, plain)]
+        place = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[place[0] : place[-1]]
+        place = place - place[0]
+        if not len(data):
+            return [b""] * len(texts)
+        starts = cuts(data, place[:-1])
+        offsets = np.append(starts, len(data)).astype(np.int32)
+        coded = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data.tobytes())]).dictionary_encode()
+        chunks, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         known = self.known
-        new = set().union(*parts).difference(known)
+        raw = list(map(known.get, chunks))
+        new = [c for c, r in zip(chunks, raw) if r is None]
         if new:
-            self._learn(sorted(new))
-        out = [b"".join(map(known.__getitem__, p)) if ok else self._whole(t) for t, p, ok in zip(texts, parts, plain)]
+            self._learn(new)
+            raw = [known[c] if r is None else r for c, r in zip(chunks, raw)]
         for chunk in new:
             if len(chunk) > CACHED_CHARS:
                 del known[chunk]
-        return out
+        length = np.fromiter(map(len, raw), np.int32, len(raw)) // 4
+        pool, first = np.frombuffer(b"".join(raw), "<u4"), np.cumsum(length, dtype=np.int32) - length
+        each = length[code]
+        ends = np.cumsum(each, dtype=np.int32)
+        ids = pool[np.repeat(first[code] - (ends - each), each) + np.arange(ends[-1], dtype=np.int32)]
+        at = np.append(0, ends)[np.searchsorted(starts, place)].tolist()
+        return [ids[i:j].tobytes() for i, j in zip(at, at[1:])]
+
+
+#: Kinds of bytes: a space, other ASCII white space, letters, other visible ASCII; the rest is 0.
+_KIND = np.zeros(256, np.uint8)
+_KIND[0x21:0x7F] = 8
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = 4
+_KIND[0x09:0x0E] = 2
+_KIND[0x20] = 1
+
+
+def cuts(data: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Where the chunks of texts start that stand one after the other in ``data`` and begin at ``begins`` (empty ones, too)."""
+    n = len(data)
+    kind = _KIND[data]
+    opening = np.zeros(n, bool)
+    opening[begins[begins < n]] = True
+    white, letter = (kind & 3) != 0, kind == 4
+    after = lambda flag: np.append(False, flag[:-1]) & ~opening  # noqa: E731 - whether the byte before, of the same text, has the flag
+    white_before = after(white)
+    word = ~white & (opening | white_before)
+    cut = opening | (white & ~white_before)
+    last = np.flatnonzero(word & white_before) - 1  # the white space just before a word
+    cut[last] = True
+    cut[last[kind[last] == 2] + 1] = True
+    # Letters that open a word and end at a visible character.
+    ends = np.flatnonzero((kind == 8) & after(letter))
+    if len(ends):
+        runs = np.flatnonzero(letter & ~after(letter))
+        cut[ends[word[runs[np.searchsorted(runs, ends) - 1]]]] = True
+    return np.flatnonzero(cut)
 
 
 @functools.lru_cache(maxsize=2)
@@ -316,7 +394,7 @@ def write_token_files(df: DataFrame, id_col: str, text_col: str, folder: str, to
 
         for batch in batches:
             for few in slices(batch, "text"):
-                for doc, ids in zip(few.column("id").to_pylist(), coder.encode(few.column("text").to_pylist())):
+                for doc, ids in zip(few.column("id").to_pylist(), coder.encode(few.column("text"))):
                     ids += end
                     if docs and held + len(ids) // 4 > SHARD_TOKENS:
                         yield close()
@@ -348,13 +426,13 @@ def read_token_files(files: DataFrame, folder: str) -> DataFrame:
                 with system.open_input_file(f"{root}/{row['file']}") as source:
                     file = WaveletFile(source)
                     docs, lengths = file.documents()
-                    ids = file.ids()
+                    ids = file.ids().astype("<u4")
                 ends = np.cumsum(lengths)
                 starts = ends - lengths
                 first = 0
                 while first < len(docs):
                     last = max(first + 1, int(np.searchsorted(ends, starts[first] + READ_TOKENS, "right")))
-                    raw = [ids[a:b].astype("<u4").tobytes() for a, b in zip(starts[first:last].tolist(), ends[first:last].tolist())]
+                    raw = [ids[a:b].tobytes() for a, b in zip(starts[first:last].tolist(), ends[first:last].tolist())]
                     yield pa.RecordBatch.from_arrays([pa.array(docs[first:last], pa.int64()), pa.array(starts[first:last] + row["before"]), pa.array(lengths[first:last]), pa.array(raw, pa.binary())], schema=schema)
                     first = last
 

@@ -3,6 +3,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -39,7 +40,10 @@ def test_chunks_same_as_library():
     letters = "abcdeéß  \n\n\t\xa0\x1c\x85'.,!019tsré<|>"
     texts = ["", " ", "\n", "a  b", "a \n b", "x\n\n\ny", "end.\nStart", "<|endoftext|> a<|endoftext|>", "a" * 500, " tail \n ", "日本　語", "\r\n x"]
     texts += ["".join(rng.choice(letters) for _ in range(rng.randrange(120))) for _ in range(400)]
-    for text, ids in zip(texts * 2, own.encode(texts) + own.encode(texts)):
+    texts += ["\t", " \t a", "a\t b", "A1 b2", " A1", "don't", "é's a's", "a\x7fb a\x00b", "x  ", "\n\n a", "a\u2003b", "ab" * 40 + "!", " ", ""]
+    texts += ["".join(rng.choice("aZ é!1\t\n'") for _ in range(rng.randrange(14))) for _ in range(4000)]
+    column = pa.array(texts, pa.string())
+    for text, ids in zip(texts * 2, own.encode(column) + own.encode(column)):
         assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
 
 
