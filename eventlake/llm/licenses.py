@@ -217,8 +217,12 @@ def detections(words: Column, rules: list[Rule]) -> Column:
 
         # Appending copies an array, so places are first built in runs of ``RUN`` matches, each from 0, and then moved by the runs before.
         pairs = F.filter(F.arrays_zip(pieces.alias("pieces"), found.alias("found")), lambda p: p["found"].isNotNull())
-        starts = F.when(F.size(pairs) == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), F.greatest(F.size(pairs), F.lit(1)), F.lit(RUN)))
-        runs = F.transform(starts, lambda i: F.aggregate(F.slice(pairs, i, RUN), zero(), step))
+
+        def runs_of(p: Column) -> Column:
+            starts = F.when(F.size(p) == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), F.greatest(F.size(p), F.lit(1)), F.lit(RUN)))
+            return F.transform(starts, lambda i: F.aggregate(F.slice(p, i, RUN), zero(), step))
+
+        runs = F.flatten(F.transform(F.array(pairs), runs_of))  # one element, so that the regex runs once and not for each use
         moved = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<start:int,back:int>>>").alias("out"))
 
         def move(state: Column, run: Column) -> Column:
