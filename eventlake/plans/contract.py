@@ -14,7 +14,7 @@ from eventlake.functions.rules import CORE_RULES, CORRECTION, VALID, first_failu
 from eventlake.operators import classify as c
 from eventlake.operators import corrections, marts, parse, watermark
 from eventlake.plans import lake as engine
-from eventlake.sources import fixtures, snapshot
+from eventlake.sources import fixtures, snapshot, staging
 from eventlake.sources.fixtures import table
 from eventlake.sources.staging import materialize, shared_folder
 from eventlake.sources.table import Table
@@ -462,7 +462,7 @@ def _lake(spark: SparkSession, sf_dir: str) -> tuple[engine.Lake, DataFrame]:
     parts = [fixtures.match_payloads(spark, sf_dir), fixtures.lineup_payloads(spark, sf_dir), fixtures.event_payloads(spark, sf_dir)]
     raw = parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumnRenamed("bronze_record_id", "source_record_locator")
     held = {"source_uri": F.lit("fixture"), "source_commit_sha": F.lit("fixture"), "source_timestamp": F.lit(None).cast("string")}
-    return lake, materialize(raw.withColumns(held).select(*snapshot.RECORD_FIELDS), "contract-records")
+    return lake, materialize(raw.withColumns(held).select(*snapshot.RECORD_FIELDS), "contract-records", **staging.WIDE)
 
 
 LOOSE = quality.Thresholds(pass_warn=0, pass_fail=0, quarantine_warn=100, quarantine_fail=100, late_warn=100, late_fail=100)

@@ -13,6 +13,11 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Writer options for tables that hold whole files as payloads.  A reader's batch has up to 4,096 rows but never crosses a row group, and the buffer of a
+#: text column doubles as it grows.  A row group's size counts compressed bytes, of which Snappy makes at most about 21 times as many: 2 MB keep a batch
+#: below some 40 MB of text, where one of the usual 128 MB held all payloads of a file.  Sizes are checked from the tenth row on.
+WIDE = {"parquet.block.size": 2 << 20, "parquet.page.size.row.check.min": 10}
+
 _made: dict[str, SparkSession] = {}
 _owner = os.getpid()
 _local: dict[int, str] = {}
@@ -36,11 +41,11 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it again: lineage ends in files all executors see."""
+def materialize(df: DataFrame, name: str, **options) -> DataFrame:
+    """Writes ``df`` to the shared folder and reads it again: lineage ends in files all executors see.  ``options``: the writer's."""
     spark = df.sparkSession
     path = shared_folder(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     found = spark.read.schema(df.schema).parquet(path)
     found._eventlake_folder = path
     return found

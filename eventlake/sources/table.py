@@ -21,9 +21,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from eventlake.sources import staging
+
 #: Share of deleted rows, and number of deletion files, from which a segment is rewritten; number of segments from which small ones are joined.
 REWRITE, MAX_DELETIONS, MAX_SEGMENTS = 1 / 3, 16, 64
 NULL_SALTS = 4096
+#: A table with this column holds whole files.
+PAYLOAD = "raw_payload"
 
 
 class CommitConflict(RuntimeError):
@@ -69,7 +73,7 @@ class Table:
 
     def _write(self, df: DataFrame, kind: str = "seg") -> str:
         name = f"{kind}-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.path}/{name}")
+        df.write.options(**(staging.WIDE if PAYLOAD in df.columns else {})).parquet(f"{self.path}/{name}")
         return name
 
     def _segment(self, df: DataFrame) -> dict:
