@@ -80,10 +80,10 @@ def _dimensions(lake: Lake, bronze: DataFrame, run_id: str) -> DataFrame:
     latest = found.groupBy("match_id").agg(F.max_by(F.struct(*[x for x in found.columns if x != "match_id"]), F.struct("kickoff_timestamp", "bronze_record_id")).alias("m")).select("match_id", "m.*")
     latest = lake.stage(latest.select(found.columns).withColumn("pipeline_run_id", F.lit(run_id)), run_id)
     if not latest.isEmpty():
-        lake.table("silver/matches").merge(latest, ["match_id"])
-        lake.table("silver/teams").merge(parse.teams(latest), ["team_id"])
-        lake.table("silver/stadiums").merge(parse.stadiums(latest), ["stadium_id"])
-    lake.table("silver/players").merge(parse.parse_lineups(bronze), ["player_id"])
+        lake.table("silver/matches").merge(latest, ["match_id"], unique=True)
+        lake.table("silver/teams").merge(parse.teams(latest), ["team_id"], unique=True)
+        lake.table("silver/stadiums").merge(parse.stadiums(latest), ["stadium_id"], unique=True)
+    lake.table("silver/players").merge(parse.parse_lineups(bronze), ["player_id"], unique=True)
     known = lake.table("silver/matches").read_or_none()
     return lake.spark.createDataFrame([], EMPTY_MATCHES) if known is None else known
 
@@ -111,7 +111,7 @@ def _conform(lake: Lake, run_id: str, ids: list[str] | None, lookback_minutes: i
     state.merge(watermark.advance(fresh, mark, lake.source, ENTITY, run_id), ["source", "entity"])
     seen = fresh.where("player_id is not null").groupBy("player_id").agg(F.max(F.struct("player_name", "team_id")).alias("b"))
     seen = seen.select("player_id", "b.player_name", "b.team_id", F.lit(None).cast("string").alias("position"), F.lit(run_id).alias("pipeline_run_id"))
-    lake.table("silver/players").merge(seen, ["player_id"], keep=("position",))
+    lake.table("silver/players").merge(seen, ["player_id"], keep=("position",), unique=True)
     bad = c.quarantine_rows(outcomes, run_id).withColumns({"detected_at": F.current_timestamp(), "reprocessed_at": F.lit(None).cast("timestamp")})
     lake.table("quarantine/match_events").merge(bad, ["quarantine_id"], insert_only=True)
 
@@ -147,8 +147,8 @@ def build_marts(lake: Lake, run_id: str, match_ids: list[int] | None = None) ->
     with lake.scratch():
         affected = lake.stage(affected, run_id)
         if not affected.isEmpty():
-            lake.table("gold/match_summary").merge(marts.match_summary(matches, events, affected).select("*", stamp), ["match_id"])
-            lake.table("gold/team_performance").merge(marts.team_performance(matches, marts.affected_teams(matches, affected)).select("*", stamp), ["team_id"])
+            lake.table("gold/match_summary").merge(marts.match_summary(matches, events, affected).select("*", stamp), ["match_id"], unique=True)
+            lake.table("gold/team_performance").merge(marts.team_performance(matches, marts.affected_teams(matches, affected)).select("*", stamp), ["team_id"], unique=True)
 
 
 def publish(lake: Lake, connect: Callable[[], object], mark: str = "?") -> dict[str, int]:

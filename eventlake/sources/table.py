@@ -153,12 +153,15 @@ class Table:
         """A new snapshot with its own schema; old versions stay readable."""
         return self._publish(self.version(), df.schema, [self._segment(df)])
 
-    def merge(self, df: DataFrame, keys: list[str], insert_only: bool = False, keep: tuple[str, ...] = ()) -> int:
-        """Upsert, or insertion of new keys only; returns the version.  In ``keep`` columns a null does not replace a value."""
+    def merge(self, df: DataFrame, keys: list[str], insert_only: bool = False, keep: tuple[str, ...] = (), unique: bool = False) -> int:
+        """Upsert, or insertion of new keys only; returns the version.  In ``keep`` columns a null does not replace a value.
+
+        ``unique``: ``df`` is grouped by the keys, so no search for repeated ones is needed.
+        """
         if not keys:
             raise ValueError("a merge needs key columns")
         base = self.version()
-        source = _one_of_each(df, keys)
+        source = df if unique else _one_of_each(df, keys)
         if base is None:
             return self._publish(None, df.schema, [self._segment(source)])
         state = self.state(base)

@@ -278,6 +278,16 @@ def test_rows_that_hold_files_lie_in_small_row_groups(spark, tmp_path, monkeypat
     assert sum(sizes) > 4e6 and max(sizes) < 3e6
 
 
+def test_merge_of_grouped_rows(spark, tmp_path):
+    """Rows grouped by the key are merged as they are; the table is the same."""
+    a, b = Table(spark, f"file://{tmp_path}/a"), Table(spark, f"file://{tmp_path}/b")
+    for rows in (spark.range(100).selectExpr("id AS k", "id AS v", "'x' AS p"), spark.range(50, 200).selectExpr("id AS k", "id * 2 AS v", "CAST(NULL AS STRING) AS p")):
+        a.merge(rows, ["k"], keep=("p",))
+        b.merge(rows, ["k"], keep=("p",), unique=True)
+    assert {tuple(r) for r in a.read().collect()} == {tuple(r) for r in b.read().collect()}
+    assert b.read().count() == 200
+
+
 def test_serving(spark, tmp_path):
     database = str(tmp_path / "s.db")
     connect = partial(sqlite3.connect, database, timeout=60)
